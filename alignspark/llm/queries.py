@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sentencepiece_codec, simhash, token_counts, token_files
+from . import decontaminate, exact_dedup, sentencepiece_codec, simhash, token_counts, token_files
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     histogram = token_counts.length_histogram(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return token_counts.suffix_sums(histogram)
