@@ -36,20 +36,20 @@ def _care(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
-def _seeds(tokens: str, at: str, masks: tuple[str, ...]) -> Column:
-    """Array of one hash for each mask at position `at` (from 0); null where the mask reaches past the end."""
-    hashes = []
-    for k, mask in enumerate(masks):
-        parts = [F.element_at(F.col(tokens), F.col(at) + F.lit(i + 1)) for i in _care(mask)]
-        hashes.append(F.when(F.col(at) + F.lit(len(mask)) <= F.size(tokens), F.xxhash64(F.lit(k), *parts)))
-    return F.array(*hashes)
-
-
 def _at_every_position(df: DataFrame, tokens: str, at: str, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    span = min(map(len, masks))
-    long_enough = df.where(F.size(tokens) >= span)
-    places = long_enough.select(*keep, tokens, F.explode(F.sequence(F.lit(0), F.size(tokens) - F.lit(span))).alias(at))
-    return places.select(*keep, tokens, at, F.posexplode(_seeds(tokens, at, masks)).alias("_m", "_h")).where("_h IS NOT NULL")
+    """A row for each position (from 0) and mask that fits there, with the hash of the tokens that count.
+
+    Tokens are hashed once each; the masks are rows, so that one short
+    expression serves them all and the generated code stays small enough to be
+    compiled.
+    """
+    span, weight = min(map(len, masks)), max(len(_care(m)) for m in masks)
+    # a mask of less weight repeats its last position
+    listed = F.array(*(F.struct(F.lit(k).alias("_m"), F.lit(len(m)).alias("_len"), *(F.lit([*_care(m), *[_care(m)[-1]] * weight][i]).alias(f"_o{i}") for i in range(weight))) for k, m in enumerate(masks)))
+    hashed = df.where(F.size(tokens) >= span).select(*keep, tokens, F.transform(tokens, lambda t: F.xxhash64(t)).alias("_th"))
+    places = hashed.select(*keep, tokens, "_th", F.explode(F.sequence(F.lit(0), F.size("_th") - F.lit(span))).alias(at))
+    masked = places.select(*keep, tokens, "_th", at, F.inline(listed)).where(F.col(at) + F.col("_len") <= F.size("_th"))
+    return masked.select(*keep, tokens, at, "_m", F.xxhash64("_m", *(F.get("_th", F.col(at) + F.col(f"_o{i}")) for i in range(weight))).alias("_h"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 20, share: float = 0.8, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -70,7 +70,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_tokens(F.col(text_col)).alias("_dt"))
     places = _at_every_position(rows, "_dt", "_p", ["doc_id"], masks)
     hits = places.join(seeds, ["_h", "_m"])
-    before = [reduce(lambda a, b: a & b, (F.element_at("_dt", F.col("_p") + F.lit(i)) == F.element_at("_it", F.col("_q") + F.lit(i)) for i in _care(m))) for m in masks]
+    before = [reduce(lambda a, b: a & b, (F.get("_dt", F.col("_p") + F.lit(i - 1)) == F.get("_it", F.col("_q") + F.lit(i - 1)) for i in _care(m))) for m in masks]
     goes_on = reduce(lambda c, k: c.when(F.col("_m") == k, before[k]), range(len(masks)), F)
     starts = hits.where((F.col("_p") == 0) | (F.col("_q") == 0) | ~F.coalesce(goes_on, F.lit(False)))
     low = F.least("_p", "_q")
