@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, quality, sentencepiece_codec, simhash, token_counts, token_files, toxicity, url_filter
+from . import decontaminate, exact_dedup, hpyp, quality, sentencepiece_codec, simhash, token_counts, token_files, toxicity, url_filter
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpyp.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     histogram = token_counts.length_histogram(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return token_counts.suffix_sums(histogram)
