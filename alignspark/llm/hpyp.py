@@ -1,37 +1,38 @@
-"""Language-model scores from a hierarchical Pitman-Yor model.
+"""Language-model scores from a hierarchical Pitman-Yor model over words.
 
-Words are dishes of one Pitman-Yor restaurant, sharded over the cluster by the
-word's hash.  A new table of that restaurant draws its word from a spelling
-model: a tree of restaurants over bytes whose contexts are the two bytes before
-(and the word's start), each with the restaurant of the shorter context as its
-parent, down to the empty context over the uniform distribution of 257 symbols
-(256 bytes and the word's end).  So every text has a probability, unseen words
-included.
+The words that may follow a context sit in that context's restaurant; all
+context restaurants share one parent, the restaurant of the empty context, over
+the uniform distribution of the V distinct training tokens and one unknown.
+Contexts are the preceding tokens whose share of the training tokens is at
+least ``context_share``, so there are at most 1 / context_share of them however
+large the corpus; after any other token a word comes from the parent directly.
 
 Seating is kept as customers and tables of each dish.  A Gibbs step takes one
 customer of every dish away (alone at a table with the probability that its
 state implies, from generalised Stirling numbers) and seats it again, at a new
 table with probability proportional to (strength + discount * tables) times the
-parent's probability of the dish, or at an old one.  All dishes step together;
-the tables of the restaurant are recounted between steps, and the shards of the
-word restaurant use the total of the round before.  First seating follows the
-same rule in growing groups of customers.  Predictive probabilities are
-averaged over sweeps after a burn-in.
-
-What is gathered: each training word's count (all of them, by hash shard), and
-table counts by byte trigram, at most 257**3 numbers whatever the input, which
-is why the spelling tree may be sampled on the driver and broadcast.  Texts are
-read once; a compact table of word counts by document and block of documents is
-written to the shared folder.  The word shards answer each block's request for
-its words, and documents are scored from the answers, so no task holds the
-vocabulary, and the order of rows cannot change a score but by rounding.
+parent's probability of the dish, or at an old one; each table of a context is
+a customer of the parent.  All dishes step together and restaurants' tables are
+recounted between steps.  First seating follows the same rule in growing groups
+of customers.  Predictive probabilities are averaged over sweeps after burn-in.
+
+The state is sharded by the hash of the word, so that a word's cells under all
+contexts and its place in the parent live together, and a word can have no more
+cells than there are contexts: no hot key.  What shards share are the numbers
+of customers and tables of each restaurant, counted again after every round;
+within a round a shard sees its own changes only.
+
+Texts are read once, into a table of blocks of documents in the shared folder.
+Every block asks the shards for the probabilities of its words and cells and is
+scored from the answers, so no task holds the vocabulary, and what is gathered
+is every training token's count.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,8 @@ from xxhash import xxh64_intdigest
 from . import common
 from .token_files import from_planes, to_planes
 
-SYMBOLS = 257
-END = 256
 HELD = 7
+END = b""  # the end token; no word is empty
 _EXACT = 256
 
 
@@ -60,13 +60,33 @@ def _unzip(data: bytes) -> bytes:
 
 def _pack(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers as compressed byte planes."""
+    if len(numbers) and (int(numbers.max()) >> 32 or int(numbers.min()) < 0):
+        raise OverflowError("a count within one block exceeds 32 bits")
     return len(numbers).to_bytes(8, "little") + _zip(b"".join(to_planes(numbers.astype("<u4"), "byte")))
 
 
 def _unpack(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
-    flat = _unzip(data[8:]) if n else b""
-    return from_planes([flat[k * n : (k + 1) * n] for k in range(4)], n, "byte")
+    if not n:
+        return np.zeros(0, np.int64)
+    flat = _unzip(data[8:])
+    return from_planes([flat[k * n : (k + 1) * n] for k in range(4)], n, "byte").astype(np.int64)
+
+
+def _pack64(numbers: np.ndarray) -> bytes:
+    return _zip(numbers.astype("<i8").tobytes())
+
+
+def _unpack64(data: bytes) -> np.ndarray:
+    return np.frombuffer(_unzip(data), "<i8")
+
+
+def _join(words: list[bytes]) -> bytes:
+    return _zip(b" ".join(words))
+
+
+def _split(data: bytes, n: int) -> list[bytes]:
+    return _unzip(data).split(b" ") if n else []
 
 
 class _Index(dict):
@@ -75,16 +95,12 @@ class _Index(dict):
         return n
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("spans", pa.binary()), ("places", pa.binary()), ("times", pa.binary())])
-_BLOCK_SQL = "block long, words binary, sizes binary, counts binary, doc_ids array<long>, train array<boolean>, spans binary, places binary, times binary"
-
-
-def _bucket(word: bytes, shards: int) -> int:
-    return xxh64_intdigest(word) % shards
+_BLOCK = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("places", pa.binary())])
+_BLOCK_SQL = "block long, words binary, sizes binary, counts binary, doc_ids array<long>, train array<boolean>, lengths binary, places binary"
 
 
 def _blocks(shards: int, block_bytes: int):
-    """Documents to blocks: the block's words in order of their shard, and each document's words as places there."""
+    """Documents to blocks: the block's words ordered by shard, and all tokens as places in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -92,32 +108,23 @@ def _blocks(shards: int, block_bytes: int):
 
         def close() -> pa.RecordBatch:
             words = list(index)
-            shard = np.fromiter((_bucket(w, shards) for w in words), np.int64, len(words))
-            order = np.argsort(shard, kind="stable")
+            shard = np.fromiter((xxh64_intdigest(w) % shards for w in words), np.int64, len(words))
+            order = np.array(sorted(range(len(words)), key=lambda i: (shard[i], words[i])), np.int64)
             place = np.empty(len(words), np.int64)
             place[order] = np.arange(len(words))
-            counts = np.zeros(len(words), np.int64)
-            spans, places, times = [], [], []
-            for _, train, used, n in docs:
-                at = place[used]
-                by = np.argsort(at)
-                at, n = at[by], n[by]
-                if train:
-                    counts[at] += n
-                spans.append(len(at))
-                places.append(np.diff(at, prepend=0))
-                times.append(n)
+            tokens = place[np.concatenate([d[2] for d in docs])]
+            lengths = np.array([len(d[2]) for d in docs], np.int64)
+            learn = np.repeat(np.array([d[1] for d in docs]), lengths)
             return pa.RecordBatch.from_pydict(
                 {
                     "block": [number],
-                    "words": [_zip(b" ".join(words[i] for i in order))],
+                    "words": [_join([words[i] for i in order])],
                     "sizes": [_pack(np.bincount(shard, minlength=shards))],
-                    "counts": [_pack(counts)],
+                    "counts": [_pack(np.bincount(tokens[learn], minlength=len(words)))],
                     "doc_ids": [[d[0] for d in docs]],
                     "train": [[d[1] for d in docs]],
-                    "spans": [_pack(np.array(spans, np.int64))],
-                    "places": [_pack(np.concatenate(places))],
-                    "times": [_pack(np.concatenate(times))],
+                    "lengths": [_pack(lengths)],
+                    "places": [_pack(tokens)],
                 },
                 schema=_BLOCK,
             )
@@ -125,9 +132,9 @@ def _blocks(shards: int, block_bytes: int):
         for batch in batches:
             for doc_id, train, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = common.byte_words(text)
-                used, n = np.unique(np.fromiter(map(index.__getitem__, words), np.int64, len(words)), return_counts=True)
-                docs.append((doc_id, bool(train), used, n))
-                held += len(text)
+                words.append(END)
+                docs.append((doc_id, bool(train), np.fromiter(map(index.__getitem__, words), np.int32, len(words))))
+                held += len(text) + 16
                 if held >= block_bytes:
                     yield close()
                     number += 1
@@ -138,47 +145,134 @@ def _blocks(shards: int, block_bytes: int):
     return run
 
 
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(words: list[bytes], tokens: np.ndarray, lengths: np.ndarray, contexts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For every token, its cell's key (place * contexts + context), or -1 after a token that is no context."""
+    k = max(1, len(contexts))
+    context = np.array([contexts.get(w, -1) for w in words], np.int64)
+    before = np.empty(len(tokens), np.int64)
+    before[1:] = tokens[:-1]
+    ends = np.cumsum(lengths)
+    # a text begins after the end token of another
+    before[np.concatenate(([0], ends[:-1]))] = tokens[ends - 1]
+    c = context[before]
+    return np.where(c >= 0, tokens * k + c, -1), c
+
+
+_COUNTED = pa.schema([("shard", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
+
+
+def _word_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each block and shard: the block's words of that shard and their training counts."""
     for batch in batches:
-        for block, words, sizes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            flat, sizes, counts = _unzip(words).split(b" "), _unpack(sizes), _unpack(counts)
-            ends = np.cumsum(sizes)
-            rows: dict[str, list] = {"shard": [], "block": [], "words": [], "counts": []}
+        for words, sizes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sizes, counts = _unpack(sizes), _unpack(counts)
+            listed, ends = _split(words, len(counts)), np.cumsum(sizes)
             for s in np.flatnonzero(sizes).tolist():
                 part = slice(int(ends[s] - sizes[s]), int(ends[s]))
-                for k, v in zip(rows, (s, block, _zip(b" ".join(flat[part])), _pack(counts[part])), strict=True):
-                    rows[k].append(v)
-            yield pa.RecordBatch.from_pydict(rows, schema=_REQUEST)
+                yield pa.RecordBatch.from_pydict({"shard": [s], "size": [int(sizes[s])], "words": [_join(listed[part])], "counts": [_pack(counts[part])]}, schema=_COUNTED)
 
 
-_REQUEST = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
-_REQUEST_SQL = "shard long, block long, words binary, counts binary"
-_SHARD_SQL = "shard long, words binary, counts binary, n long, v long, n1 long, n2 long"
-_SHARD = pa.schema([("shard", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64())])
+_WORD = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64())])
 
 
-def _sum_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Requests sorted by shard to one row for each shard: its training words with their counts."""
-    now, total = None, {}
+def _count_words(share: float):
+    """Parts sorted by shard: the shard's totals, and its words with at least `share` of the shard's tokens or of `least`."""
 
-    def close() -> pa.RecordBatch:
-        words = sorted(total)
-        counts = np.array([total[w] for w in words], np.int64)
-        row = {"shard": now, "words": _zip(b" ".join(words)), "counts": _zip(counts.tobytes()), "n": int(counts.sum()), "v": len(words), "n1": int((counts == 1).sum()), "n2": int((counts == 2).sum())}
-        return pa.RecordBatch.from_pylist([row], schema=_SHARD)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, {}
 
-    for batch in batches:
-        for shard, _, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if shard != now:
-                if now is not None:
-                    yield close()
-                now, total = shard, {}
-            for w, c in zip(_unzip(words).split(b" "), _unpack(counts).tolist(), strict=True):
-                if c:
-                    total[w] = total.get(w, 0) + c
-    if now is not None:
-        yield close()
+        def close() -> pa.RecordBatch:
+            counts = np.fromiter(total.values(), np.int64, len(total))
+            n = int(counts.sum())
+            # a word with the share of all tokens has it of its shard's tokens too
+            often = [(w, c) for w, c in total.items() if c >= share * n]
+            sums = (n, len(counts), int((counts == 1).sum()), int((counts == 2).sum()))
+            columns = zip(*([(None, *sums)] + [(w, c, 0, 0, 0) for w, c in often]), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _WORD, strict=True)], schema=_WORD)
+
+        for batch in batches:
+            for shard, size, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now:
+                    if now is not None:
+                        yield close()
+                    now, total = shard, {}
+                for w, c in zip(_split(words, size), _unpack(counts).tolist(), strict=True):
+                    if c:
+                        total[w] = total.get(w, 0) + c
+        if now is not None:
+            yield close()
+
+    return run
+
+
+_REQUEST = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("spans", pa.binary()), ("contexts", pa.binary()), ("times", pa.binary())])
+_REQUEST_SQL = "shard long, block long, size long, words binary, counts binary, spans binary, contexts binary, times binary"
+
+
+def _requests(sent):
+    """A row for each block and shard: words, training counts, and the words' cells with their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        k = max(1, len(known))
+        for batch in batches:
+            for block, words, sizes, counts, train, lengths, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sizes, counts, lengths, tokens = _unpack(sizes), _unpack(counts), _unpack(lengths), _unpack(places)
+                listed = _split(words, len(counts))
+                keys, _ = _cells(listed, tokens, lengths, known)
+                learn = np.repeat(np.array(train), lengths)
+                cells, at = np.unique(keys[keys >= 0], return_inverse=True)
+                times = np.bincount(at, weights=learn[keys >= 0], minlength=len(cells)).astype(np.int64)
+                spans = np.bincount(cells // k, minlength=len(listed))
+                starts = np.concatenate(([0], np.cumsum(spans)))
+                ends = np.cumsum(sizes)
+                for s in np.flatnonzero(sizes).tolist():
+                    a, b = int(ends[s] - sizes[s]), int(ends[s])
+                    x, y = int(starts[a]), int(starts[b])
+                    yield pa.RecordBatch.from_pydict(
+                        {"shard": [s], "block": [block], "size": [b - a], "words": [_join(listed[a:b])], "counts": [_pack(counts[a:b])], "spans": [_pack(spans[a:b])], "contexts": [_pack(cells[x:y] % k)], "times": [_pack(times[x:y])]},
+                        schema=_REQUEST,
+                    )
+
+    return run
+
+
+_SHARD = pa.schema([("shard", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("cells", pa.binary()), ("times", pa.binary())])
+_SHARD_SQL = "shard long, size long, words binary, counts binary, cells binary, times binary"
+
+
+def _sum_shards(n_contexts: int):
+    """Requests sorted by shard to one row for each shard: its training words and cells with their counts."""
+    k = max(1, n_contexts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, index, word_at, word_n, cell_at, cell_n = None, _Index(), [], [], [], []
+
+        def close() -> pa.RecordBatch:
+            counts = np.bincount(np.concatenate(word_at), weights=np.concatenate(word_n), minlength=len(index)).astype(np.int64)
+            cells, at = np.unique(np.concatenate(cell_at), return_inverse=True)
+            times = np.bincount(at, weights=np.concatenate(cell_n), minlength=len(cells)).astype(np.int64)
+            row = {"shard": now, "size": len(index), "words": _join(list(index)), "counts": _pack64(counts), "cells": _pack64(np.diff(cells, prepend=0)), "times": _pack64(times)}
+            return pa.RecordBatch.from_pylist([row], schema=_SHARD)
+
+        for batch in batches:
+            for shard, _, size, words, counts, spans, contexts, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now:
+                    if now is not None:
+                        yield close()
+                    now, index, word_at, word_n, cell_at, cell_n = shard, _Index(), [], [], [], []
+                counts, spans, contexts, times = _unpack(counts), _unpack(spans), _unpack(contexts), _unpack(times)
+                listed = _split(words, size)
+                own = np.array([index[w] if c else -1 for w, c in zip(listed, counts.tolist(), strict=True)], np.int64)
+                word_at.append(own[own >= 0])
+                word_n.append(counts[own >= 0])
+                learnt = times > 0
+                cell_at.append((np.repeat(own, spans) * k + contexts)[learnt])
+                cell_n.append(times[learnt])
+        if now is not None:
+            yield close()
+
+    return run
 
 
 # --- seating ---------------------------------------------------------------
@@ -200,7 +294,7 @@ def _log_stirling(discount: float, n: int = _EXACT) -> np.ndarray:
 class Seating:
     """Customers c and tables t of the dishes of one level; `room` says which restaurant a dish belongs to."""
 
-    def __init__(self, c: np.ndarray, room: np.ndarray, rooms: int, discount: float, strength: float, rng: np.random.Generator, other_tables: float = 0.0) -> None:
+    def __init__(self, c: np.ndarray, room: np.ndarray, rooms: int, discount: float, strength: float, rng: np.random.Generator, other_tables: float | np.ndarray = 0.0) -> None:
         self.c, self.room, self.rooms = c.astype(np.int64), room, rooms
         self.d, self.strength, self.rng, self.other = discount, strength, rng, other_tables
         self.t = np.minimum(self.c, 1)
@@ -242,192 +336,125 @@ class Seating:
             old = np.maximum(c - 1 - self.d * t, 0)
             self.t[live] = t + ((self.rng.random(len(live)) < new / (new + old)) | (t == 0))
 
-    def predictive(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of the seated dishes, and each restaurant's weight on its parent."""
-        customers = np.bincount(self.room, weights=self.c, minlength=self.rooms)
-        back = (self.strength + self.d * self.totals()) / (self.strength + customers)
-        return (self.c - self.d * self.t) / (self.strength + customers[self.room]) + back[self.room] * p, back
-
 
 def _discount(n1: int, n2: int) -> float:
     return float(np.clip(n1 / max(1, n1 + 2 * n2), 0.1, 0.95))
 
 
 @dataclass
-class Spelling:
-    """Averaged predictive probabilities of the byte tree, in sorted arrays of at most 257**3 entries."""
-
-    codes2: np.ndarray
-    p2: np.ndarray
-    rooms2: np.ndarray
-    back2: np.ndarray
-    codes1: np.ndarray
-    p1: np.ndarray
-    back1: np.ndarray
-    root: np.ndarray
-
-    def symbol(self, codes: np.ndarray) -> np.ndarray:
-        """Probabilities of (context, symbol) codes: the cell's if seated, else the parent's times the weight on it."""
-        low, b = codes % (SYMBOLS * SYMBOLS), codes % SYMBOLS
-        p = _find(self.codes1, self.p1, low, self.back1[low // SYMBOLS] * self.root[b])
-        weight = _find(self.rooms2, self.back2, codes // SYMBOLS, np.ones(len(codes)))
-        return _find(self.codes2, self.p2, codes, weight * p)
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        codes, lengths = spell(words)
-        logs = np.log(self.symbol(codes))
-        ends = np.cumsum(lengths)
-        return np.exp(np.add.reduceat(logs, ends - lengths)) if len(words) else np.zeros(0)
-
-
-def _find(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, other: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return other
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, values[at], other)
-
-
-def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(context, symbol) codes of all words in turn, each closed by END, and the number of symbols of each word."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # words hold no white space, so a space can stand for the end
-    flat = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64)
-    flat[flat == 32] = END
-    one = np.concatenate(([END], flat[:-1]))
-    two = np.concatenate(([END], one[:-1]))
-    two[one == END] = END
-    lengths = np.array([len(w) + 1 for w in words], np.int64)
-    return (two * SYMBOLS + one) * SYMBOLS + flat, lengths
-
-
-def sample_spelling(codes: np.ndarray, counts: np.ndarray, sweeps: int, burn: int, strength: float, seed: list[int]) -> Spelling:
-    """Gibbs sweeps over the byte tree given how many tables spell each trigram."""
-    rng = np.random.default_rng(seed)
-    order = np.argsort(codes)
-    codes2, c2 = codes[order], counts[order].astype(np.int64)
-    rooms2, room2 = np.unique(codes2 // SYMBOLS, return_inverse=True)
-    codes1, up2 = np.unique(codes2 % (SYMBOLS * SYMBOLS), return_inverse=True)
-    codes0 = codes1 % SYMBOLS
-    uniform = 1.0 / SYMBOLS
-    leaf = Seating(c2, room2, len(rooms2), _discount(int((c2 == 1).sum()), int((c2 == 2).sum())), strength, rng)
-
-    def up(t: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(place, weights=t, minlength=n).astype(np.int64)
-
-    first = up(np.ones(len(codes2)), up2, len(codes1))
-    middle = Seating(first, codes1 // SYMBOLS, SYMBOLS, _discount(int((first == 1).sum()), int((first == 2).sum())), strength, rng)
-    root = Seating(up(np.ones(len(codes1)), codes0, SYMBOLS), np.zeros(SYMBOLS, np.int64), 1, 0.5, strength, rng)
-    flat = np.full(SYMBOLS, uniform)
-    sums, kept = None, 0
-    for k in range(sweeps + burn):
-        p0, _ = root.predictive(flat)
-        p1, back1 = middle.predictive(p0[codes0])
-        (leaf.seat if k == 0 else leaf.sweep)(p1[up2])
-        middle.c = up(leaf.t, up2, len(codes1))
-        middle.t = np.clip(middle.t, np.minimum(middle.c, 1), middle.c)
-        (middle.seat if k == 0 else middle.sweep)(p0[codes0])
-        root.c = up(middle.t, codes0, SYMBOLS)
-        root.t = np.clip(root.t, np.minimum(root.c, 1), root.c)
-        (root.seat if k == 0 else root.sweep)(flat)
-        if k >= burn:
-            p0, _ = root.predictive(flat)
-            p1, back1 = middle.predictive(p0[codes0])
-            p2, back2 = leaf.predictive(p1[up2])
-            state = (p2, back2, p1, back1, p0)
-            sums = state if sums is None else tuple(a + b for a, b in zip(sums, state, strict=True))
-            kept += 1
-    p2, back2, p1, back1, p0 = (s / kept for s in sums)
-    return Spelling(codes2, p2, rooms2, back2, codes1, p1, back1, p0)
-
-
-@dataclass
-class Words:
-    """The word restaurant's numbers, the same for all shards."""
+class Model:
+    """What all shards share; its size is bounded by the number of contexts."""
 
-    n: int  # customers: training tokens
+    n: int  # training tokens
     v: int  # distinct training tokens
-    end: int  # customers of the end token
-    discount: float
     strength: float
-    tables: float
-    spelling: Spelling | None = None
-
-    def seating(self, counts: np.ndarray, own_tables: float, rng: np.random.Generator) -> Seating:
-        return Seating(counts, np.zeros(len(counts), np.int64), 1, self.discount, self.strength, rng, max(0.0, self.tables - own_tables))
-
-    def run(self, counts: np.ndarray, p: np.ndarray, sweeps: int, burn: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Tables after the last sweep, and the average over sweeps of (c - d t)."""
-        seats = self.seating(counts, 0.0, rng)
-        seats.seat(p)
-        seats.other = max(0.0, self.tables - seats.t.sum())
-        total = np.zeros(len(counts))
-        for k in range(burn + sweeps):
-            seats.sweep(p)
-            if k >= burn:
-                total += counts - self.discount * seats.t
-        return seats.t, total / max(1, sweeps)
-
-    def probability(self, seated: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return (seated + (self.strength + self.discount * self.tables) * p) / (self.strength + self.n)
-
-
-def _cells(words: list[bytes], tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    codes, lengths = spell(words)
-    cells, place = np.unique(codes, return_inverse=True)
-    return cells, np.bincount(place, weights=np.repeat(tables, lengths), minlength=len(cells)).astype(np.int64)
-
-
-def _shard_cells(sent, sweeps: int, seed: int, turn: int):
-    """Tables of the words of each shard, as counts by trigram; code -1 has their total."""
+    word_discount: float
+    cell_discount: float
+    root_customers: float
+    root_tables: float
+    customers: np.ndarray  # of each context's restaurant
+    tables: np.ndarray
+
+    def chain(self, counts: np.ndarray, cells: np.ndarray, times: np.ndarray, sweeps: int, burn: int, rng: np.random.Generator):
+        """Gibbs sweeps over one shard: tables of the cells, customers and tables of the words, averaged probabilities."""
+        k = max(1, len(self.customers))
+        word, context = cells // k, cells % k
+        direct = counts - np.bincount(word, weights=times, minlength=len(counts)).astype(np.int64)
+        uniform = np.full(len(counts), 1.0 / (self.v + 1))
+        low = Seating(times, context, k, self.cell_discount, self.strength, rng)
+        top = Seating(direct + np.bincount(word, minlength=len(counts)), np.zeros(len(counts), np.int64), 1, self.word_discount, self.strength, rng)
+        top.seat(uniform)
+        p_word, p_cell = np.zeros(len(counts)), np.zeros(len(cells))
+        back = self.back()
+        for turn in range(burn + sweeps):
+            p = self.word(top.c, top.t, uniform)
+            if turn == 0:
+                low.other = np.maximum(self.tables - np.bincount(context, minlength=k), 0)
+                low.seat(p[word])
+                low.other = np.maximum(self.tables - np.bincount(context, weights=low.t, minlength=k), 0)
+            else:
+                low.sweep(p[word])
+            top.c = direct + np.bincount(word, weights=low.t, minlength=len(counts)).astype(np.int64)
+            top.t = np.clip(top.t, np.minimum(top.c, 1), top.c)
+            if turn == 0:
+                top.other = max(0.0, self.root_tables - float(len(counts)))
+                top.seat(uniform)
+                top.other = max(0.0, self.root_tables - float(top.t.sum()))
+            else:
+                top.sweep(uniform)
+            if turn >= burn:
+                p = self.word(top.c, top.t, uniform)
+                p_word += p
+                p_cell += (times - self.cell_discount * low.t) / (self.strength + self.customers[context]) + back[context] * p[word]
+        kept = max(1, sweeps)
+        return low.t, top.c, top.t, p_word / kept, p_cell / kept
+
+    def word(self, c: np.ndarray, t: np.ndarray, uniform: np.ndarray) -> np.ndarray:
+        return (c - self.word_discount * t + (self.strength + self.word_discount * self.root_tables) * uniform) / (self.strength + self.root_customers)
+
+    def unknown(self) -> float:
+        return float(self.word(np.zeros(1), np.zeros(1), np.full(1, 1.0 / (self.v + 1)))[0])
+
+    def back(self) -> np.ndarray:
+        """Weight of the parent in each context's restaurant."""
+        return (self.strength + self.cell_discount * self.tables) / (self.strength + self.customers)
+
+
+def _load(size: int, words: bytes, counts: bytes, cells: bytes, times: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    return _split(words, size), _unpack64(counts), np.cumsum(_unpack64(cells)), _unpack64(times)
+
+
+def _totals(sent, n_contexts: int, sweeps: int, seed: int, turn: int):
+    """What each shard adds to the shared numbers: (name, n); a name from 0 is a context's tables, from `n_contexts` its customers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model, k = sent.value, max(1, n_contexts)
         for batch in batches:
-            for shard, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                listed = _unzip(words).split(b" ") if words else []
-                c = np.frombuffer(_unzip(counts), np.int64)
-                if not len(c):
-                    continue
-                tables = np.ones(len(c), np.int64)
-                if model.spelling is not None:
-                    tables, _ = model.run(c, model.spelling.words(listed), 1, sweeps, np.random.default_rng([seed, turn, shard]))
-                codes, n = _cells(listed, tables)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)), pa.array(np.append(n, tables.sum()))], ["code", "n"])
+            for shard, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, counts, cells, times = _load(*packed)
+                context = cells % k
+                if model is None:
+                    tables, top, top_tables = np.ones(len(cells)), counts.sum(), len(counts)
+                else:
+                    tables, c, t, _, _ = model.chain(counts, cells, times, 1, sweeps, np.random.default_rng([seed, turn, shard]))
+                    top, top_tables = c.sum(), t.sum()
+                n = np.concatenate((np.bincount(context, weights=tables, minlength=k), np.bincount(context, weights=times, minlength=k), [top, top_tables, (times == 1).sum(), (times == 2).sum()])).astype(np.int64)
+                used = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["name", "n"])
 
     return run
 
 
-_REPLY = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("counts", pa.binary()), ("logs", pa.binary())])
+_REPLY = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("counts", pa.binary()), ("logs", pa.binary()), ("cell_logs", pa.binary())])
 
 
 def _answer(sent, sweeps: int, burn: int, seed: int):
-    """Rows sorted by shard and kind: the shard's words (kind 0), then the blocks' requests (kind 1)."""
+    """Rows sorted by shard and kind: the shard itself (kind 0), then the blocks' requests (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        now, place, logs, counts = None, {}, np.zeros(0), np.zeros(0, np.int64)
+        k, back, unknown = max(1, len(model.customers)), model.back(), model.unknown()
+        now, place, counts, p_word, cells, p_cell = None, {}, None, None, None, None
         for batch in batches:
-            for shard, kind, block, words, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                listed = _unzip(words).split(b" ")
-                if shard != now:
-                    now, place, logs, counts = shard, {}, np.zeros(0), np.zeros(0, np.int64)
+            for shard, kind, block, size, words, packed, spans, contexts, shard_cells, shard_times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
-                    counts = np.frombuffer(_unzip(packed), np.int64)
-                    if len(counts):
-                        p = model.spelling.words(listed)
-                        _, seated = model.run(counts, p, sweeps, burn, np.random.default_rng([seed, 1 << 20, shard]))
-                        logs = np.log10(model.probability(seated, p))
-                        place = {w: i for i, w in enumerate(listed)}
+                    now = shard
+                    listed, counts, cells, times = _load(size, words, packed, shard_cells, shard_times)
+                    _, _, _, p_word, p_cell = model.chain(counts, cells, times, sweeps, burn, np.random.default_rng([seed, 1 << 20, shard]))
+                    place = {w: i for i, w in enumerate(listed)}
                     continue
-                at = np.fromiter((place.get(w, -1) for w in listed), np.int64, len(listed))
-                known = at >= 0
-                out, c = np.empty(len(at)), np.zeros(len(at), np.int64)
-                out[known], c[known] = logs[at[known]], counts[at[known]]
-                new = [w for w, k in zip(listed, known.tolist(), strict=True) if not k]
-                if new:
-                    out[~known] = np.log10(model.probability(np.zeros(len(new)), model.spelling.words(new)))
-                yield pa.RecordBatch.from_pydict({"block": [block], "shard": [shard], "counts": [_zip(c.tobytes())], "logs": [_zip(out.tobytes())]}, schema=_REPLY)
+                assert shard == now  # every asked shard has a row
+                at = np.fromiter((place.get(w, -1) for w in _split(words, size)), np.int64, size)
+                seen = at >= 0
+                p, c = np.full(size, unknown), np.zeros(size, np.int64)
+                p[seen], c[seen] = p_word[at[seen]], counts[at[seen]]
+                spans, contexts = _unpack(spans), _unpack(contexts)
+                q = back[contexts] * np.repeat(p, spans)
+                if len(cells) and len(q):
+                    keys = np.repeat(at, spans) * k + contexts
+                    where = np.minimum(np.searchsorted(cells, keys), len(cells) - 1)
+                    q = np.where((cells[where] == keys) & np.repeat(seen, spans), p_cell[where], q)
+                yield pa.RecordBatch.from_pydict({"block": [block], "shard": [shard], "counts": [_pack64(c)], "logs": [_zip(np.log10(p).tobytes())], "cell_logs": [_zip(np.log10(q).astype(np.float32).tobytes())]}, schema=_REPLY)
 
     return run
 
@@ -436,84 +463,78 @@ _SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 _SCORE_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(n: int, v: int, end: int, end_log: float):
-    """Rows sorted by block and shard: the answers, then (shard -> its documents) the block itself."""
+def _score(sent, n: int, v: int):
+    """Rows sorted by block, kind and shard: the answers (kind 0), then the block itself (kind 1)."""
     room = n + (v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counts, logs = None, [], []
+        known = sent.value
+        now, answers = None, []
         for batch in batches:
-            for block, kind, c, l, ids, spans, places, times in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for block, kind, c, logs, cell_logs, words, doc_ids, lengths, places in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if block != now:
-                    now, counts, logs = block, [], []
+                    now, answers = block, []
                 if kind == 0:
-                    counts.append(np.frombuffer(_unzip(c), np.int64))
-                    logs.append(np.frombuffer(_unzip(l), np.float64))
+                    answers.append((_unpack64(c), np.frombuffer(_unzip(logs)), np.frombuffer(_unzip(cell_logs), np.float32)))
                     continue
-                count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-                log = np.concatenate(logs) if logs else np.zeros(0)
-                base = np.log10((count + 1) / room)
-                spans, places, times = _unpack(spans).astype(np.int64), _unpack(places).astype(np.int64), _unpack(times).astype(np.int64)
-                rows: dict[str, list] = {k: [] for k in _SCORE.names}
-                at = 0
-                for doc_id, span in zip(ids, spans.tolist(), strict=True):
-                    where, k = np.cumsum(places[at : at + span]), times[at : at + span]
-                    at += span
-                    held = None if doc_id is None else zlib.crc32(str(doc_id).encode()) % HELD == 2
-                    row = (doc_id, held, int(k.sum()) + 1, int(k[count[where] > 0].sum()) + (end > 0), n, float(k @ base[where]) + float(np.log10((end + 1) / room)), float(k @ log[where]) + end_log)
-                    for name, value in zip(rows, row, strict=True):
-                        rows[name].append(value)
-                yield pa.RecordBatch.from_pydict(rows, schema=_SCORE)
+                count, log, cell_log = (np.concatenate(x) for x in zip(*answers, strict=True))
+                lengths, tokens = _unpack(lengths), _unpack(places)
+                keys, _ = _cells(_split(words, len(count)), tokens, lengths, known)
+                per_token = log[tokens]
+                if (keys >= 0).any():
+                    _, at = np.unique(keys[keys >= 0], return_inverse=True)
+                    per_token[keys >= 0] = cell_log[at]
+                starts = np.cumsum(lengths) - lengths
+                sums = [np.add.reduceat(x, starts) for x in (np.log10((count + 1) / room)[tokens], per_token, (count > 0)[tokens].astype(np.int64))]
+                held = [None if d is None else zlib.crc32(str(d).encode()) % HELD == 2 for d in doc_ids]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((doc_ids, held, lengths, sums[2], np.full(len(lengths), n), sums[0], sums[1]), _SCORE, strict=True)], schema=_SCORE)
 
     return run
 
 
-def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, sweeps: int = 8, burn: int = 8, strength: float = 1.0, seed: int = 7, shards: int | None = None, block_bytes: int = 4 << 20) -> DataFrame:
+def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_share: float = 1e-4, rounds: int = 2, sweeps: int = 6, burn: int = 6, strength: float = 1.0, seed: int = 7, shards: int | None = None, block_bytes: int = 12 << 20) -> DataFrame:
     """Scores of all texts: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32 of the id is not 2 modulo 7; scores are log10
     probabilities, and 10 ** (-score / n_tokens) is a text's perplexity.  Null
     and empty texts have the end token alone; rows with a null id are scored
     but not learned from, and their held_out is null; repeated rows count each
-    time; an empty table gives no rows.  Words are kept as bytes, so nothing
-    rests on their hashes.
+    time; an empty table gives no rows.  Words are compared as bytes, so
+    nothing rests on their hashes.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards or 2 * parts
+    shards = shards or parts
     doc_id = F.col(id_col).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(common.fold(doc_id, HELD) != 2, F.lit(False)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = common.written(rows.mapInArrow(_blocks(shards, block_bytes), _BLOCK_SQL), "blocks")
-    end = blocks.select(F.coalesce(F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0))).first()[0]
-    asked = blocks.select("block", "words", "sizes", "counts").where(F.length("words") > 0).mapInArrow(_requests, _REQUEST_SQL).where(F.length("words") > 0)
-    dealt = asked.repartition(parts, "shard").sortWithinPartitions("shard")
-    words = common.written(dealt.mapInArrow(_sum_shards, _SHARD_SQL), "words")
-    size = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2"))).first()
-    model = Words(size["n"] + end, size["v"] + (end > 0), end, _discount(size["n1"], size["n2"]), strength, float(size["v"] + (end > 0)))
-    own_end = np.array([end], np.int64)
+    pieces = blocks.select("words", "sizes", "counts").mapInArrow(_word_parts, "shard long, size long, words binary, counts binary")
+    counted = common.written(pieces.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_count_words(context_share), "word binary, n long, v long, n1 long, n2 long"), "counted")
+    size = counted.where("word IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2"))).first()
+    often = counted.where(F.col("word").isNotNull() & (F.col("n") >= context_share * size["n"])).select("word").collect()  # at most 1 / context_share rows
+    known = {w: i for i, w in enumerate(sorted(bytes(r["word"]) for r in often))}
+    k = max(1, len(known))
+    listed = spark.sparkContext.broadcast(known)
+    asked = blocks.select("block", "words", "sizes", "counts", "train", "lengths", "places").mapInArrow(_requests(listed), _REQUEST_SQL)
+    table = common.written(asked.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_sum_shards(len(known)), _SHARD_SQL), "shards")
+    model = None
     for turn in range(rounds + 1):
-        sent = spark.sparkContext.broadcast(model)  # numbers, and a spelling tree of at most 257**3 cells
-        cells = words.select("shard", "words", "counts").mapInArrow(_shard_cells(sent, burn, seed, turn), "code long, n long")
-        found = cells.groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most 257**3 + 1 rows
-        tables, end_seated = np.ones(1, np.int64) * (end > 0), own_end
-        if model.spelling is not None and end:
-            tables, end_seated = model.run(own_end, model.spelling.words([b""]), sweeps, burn, np.random.default_rng([seed, turn, 1 << 40]))
-        codes, n = found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-        total = int(n[codes < 0].sum()) + int(tables.sum())
-        end_codes, end_n = _cells([b""], tables)
-        codes, place = np.unique(np.concatenate((codes[codes >= 0], end_codes[end_n > 0])), return_inverse=True)
-        n = np.bincount(place, weights=np.concatenate((n[found["code"].to_numpy() >= 0], end_n[end_n > 0])), minlength=len(codes)).astype(np.int64)
-        spelling = sample_spelling(codes, n, sweeps, burn, strength, [seed, turn])
-        model = Words(model.n, model.v, end, model.discount, strength, float(max(total, 1)), spelling)
+        sent = spark.sparkContext.broadcast(model)
+        found = table.mapInArrow(_totals(sent, len(known), burn, seed, turn), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).collect()  # 2 rows a context, and 4
+        n = np.zeros(2 * k + 4)
+        for r in found:
+            n[r["name"]] = r["n"]
+        if model is None:
+            model = Model(size["n"], size["v"], strength, _discount(size["n1"], size["n2"]), _discount(int(n[-2]), int(n[-1])), 0.0, 0.0, n[k : 2 * k], n[:k])
+        model = replace(model, root_customers=float(n[-4]), root_tables=float(n[-3]), tables=n[:k])
     sent = spark.sparkContext.broadcast(model)
-    end_p = spelling.words([b""])
-    _, end_seated = model.run(own_end, end_p, sweeps, burn, np.random.default_rng([seed, 1 << 20, 1 << 40]))
-    end_log = float(np.log10(model.probability(end_seated, end_p))[0])
-    both = words.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), "words", "counts").unionByName(asked.select("shard", F.lit(1).alias("kind"), "block", "words", "counts"))
-    answers = both.repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer(sent, sweeps, burn, seed), "block long, shard long, counts binary, logs binary")
     none = F.lit(None).cast("binary")
-    replies = answers.select("block", F.lit(0).alias("kind"), "shard", "counts", "logs", F.lit(None).cast("array<long>").alias("doc_ids"), none.alias("spans"), none.alias("places"), none.alias("times"))
-    own = blocks.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("shard"), none.alias("counts"), none.alias("logs"), "doc_ids", "spans", "places", "times")
+    both = table.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), "size", "words", "counts", none.alias("spans"), none.alias("contexts"), "cells", "times").unionByName(
+        asked.select("shard", F.lit(1).alias("kind"), "block", "size", "words", "counts", "spans", "contexts", none.alias("cells"), none.alias("times"))
+    )
+    answers = both.repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer(sent, sweeps, burn, seed), "block long, shard long, counts binary, logs binary, cell_logs binary")
+    replies = answers.select("block", F.lit(0).alias("kind"), "shard", "counts", "logs", "cell_logs", none.alias("words"), F.lit(None).cast("array<long>").alias("doc_ids"), none.alias("lengths"), none.alias("places"))
+    own = blocks.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("shard"), none.alias("counts"), none.alias("logs"), none.alias("cell_logs"), "words", "doc_ids", "lengths", "places")
     joined = replies.unionByName(own).repartition(parts, "block").sortWithinPartitions("block", "kind", "shard").drop("shard")
-    return joined.mapInArrow(_score(model.n, model.v, end, end_log), _SCORE_SQL)
+    return joined.mapInArrow(_score(listed, size["n"], size["v"]), _SCORE_SQL)
