@@ -84,3 +84,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     best = compared.select("doc_id", "item_id", "window", F.array_max(sums).alias("matched"))
     found = best.where(F.col("matched") >= F.ceil(F.col("window") * F.lit(share)))
     return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+    """The rows, with all their columns, whose id is in no contaminated pair; rows with a null id stay."""
+    found = contaminated(docs, benchmark, id_col=id_col, **kw).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(found, docs[id_col] == found["_leak"], "left_anti")

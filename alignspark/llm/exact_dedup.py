@@ -187,6 +187,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return dealt.mapInArrow(_merge, _OUT_SQL).drop("_bytes")
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str, keep: str, trie_bytes: int, columns: list) -> DataFrame:
+    if keep not in ("largest", "smallest"):
+        raise ValueError("keep must be 'largest' or 'smallest'")
+    common.small_batches(docs.sparkSession)
+    groups = exact_groups(docs, id_col, text_col, trie_bytes).withColumnRenamed("_max" if keep == "largest" else "_min", "_keep")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(*columns, F.octet_length(text).cast("long").alias("_len"), F.unhex(F.sha2(text, 256)).alias("_sha"))
+    return rows.join(groups, ["_len", "_sha"], "inner")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", trie_bytes: int = 48 << 20) -> DataFrame:
     """Decide for every row which row of its group of identical texts stays.
 
@@ -196,18 +206,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and then all rows stay; rows repeated with the winning id are all marked
     kept.  Columns other than the two named are neither read nor returned.
     """
-    if keep not in ("largest", "smallest"):
-        raise ValueError("keep must be 'largest' or 'smallest'")
-    common.small_batches(docs.sparkSession)
-    groups = exact_groups(docs, id_col, text_col, trie_bytes)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("_len"), F.unhex(F.sha2(text, 256)).alias("_sha"))
-    joined = rows.join(groups, ["_len", "_sha"], "inner")
-    keep_id = F.col("_max" if keep == "largest" else "_min")
+    joined = _judged(docs, id_col, text_col, keep, trie_bytes, [F.col(id_col).cast("long").alias("doc_id")])
     return joined.select(
         "doc_id",
-        keep_id.alias("keep_id"),
+        F.col("_keep").alias("keep_id"),
         F.col("_n").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("_keep")).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
     )
+
+
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", trie_bytes: int = 48 << 20) -> DataFrame:
+    """The rows that exact_dedup marks kept, with all their columns."""
+    joined = _judged(docs, id_col, text_col, keep, trie_bytes, [F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id")])
+    return joined.where(F.col("_id").eqNullSafe(F.col("_keep"))).select("_row.*")

@@ -12,7 +12,7 @@ from . import decontaminate, exact_dedup, hpyp, quality, sentencepiece_codec, si
 from .common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file; the folder can be set with ALIGNSPARK_TOKENIZERS."""
     folder = os.environ.get("ALIGNSPARK_TOKENIZERS")
     if folder:
@@ -52,11 +52,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_file_digest(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return token_files.token_file_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode_digest(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return sentencepiece_codec.encode_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    histogram = token_counts.length_histogram(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    histogram = token_counts.length_histogram(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return token_counts.suffix_sums(histogram)
 
 

@@ -195,7 +195,7 @@ def _encodings(path: str):
         for batch in batches:
             ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
             back = [codec.decode(i) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 
@@ -206,13 +206,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, decoded text, one row for each input row.
+    """doc_id, n_tokens, ids, decoded text, one row for each input row.
 
     A null text counts as empty and has no ids; long texts are walked whole;
     repeated rows and null ids pass through; an empty table gives no rows.
     The model file must be readable on every executor under the same path.
     """
-    return _rows(docs, id_col, text_col).mapInArrow(_encodings(model), "doc_id long, ids array<int>, decoded string")
+    return _rows(docs, id_col, text_col).mapInArrow(_encodings(model), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def encode_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

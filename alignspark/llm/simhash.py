@@ -231,3 +231,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(hamming_links(nodes.where("node IS NOT NULL"), distance, blocks))
     labelled = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(labelled, "fp").select("doc_id", _hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """One row of each near-duplicate group, that of the smallest id, with all its columns; rows alone by a null id stay."""
+    groups = near_duplicates(docs, id_col, text_col, **kw)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")

@@ -197,3 +197,17 @@ def score(docs: DataFrame, model: BlockMaxIndex, threshold: float = 0.5, folds:
     doc_id = F.col(id_col).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), (common.fold(doc_id, folds) == 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence_ids array<long>, evidence_similarities array<double>")
+
+
+def clean_rows(docs: DataFrame, model: BlockMaxIndex, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold; nothing is joined or moved."""
+    common.small_batches(docs.sparkSession)
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        keep = index.terms
+        for batch in batches:
+            yield batch.filter(pa.array([index.score(word_terms(t or "", keep))[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
