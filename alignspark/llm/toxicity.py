@@ -1,8 +1,7 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine, found with a block-max inverted index.
 
-Terms are words and four-letter word beginnings.  From a bounded sample of
-labelled rows the terms that tell the classes apart are kept; TF-IDF vectors
-over them are unit length.  Examples are dealt into blocks of similar ones, and
+Terms are words.  From a bounded sample of labelled rows the terms that tell the
+classes apart are kept; TF-IDF vectors over them are unit length.  Examples are dealt into blocks of similar ones, and
 the index keeps, for each term, its largest weight in each block.  A query's
 bound for a block is its product with those maxima; blocks are opened in order
 of their bounds until the bound falls below the k-th best similarity, so the
@@ -27,18 +26,12 @@ from . import common
 from .examples import FOLDS, class_weights, fit_logistic, labelled_sample
 
 _WORD = re.compile(r"[^\W\d_]+")
-_STEM = 4
 
 
 def word_terms(text: str, keep: frozenset[str] | None = None) -> Counter:
-    """Counts of words and of the beginnings ("be~") of longer words, or of those in `keep` only."""
+    """Counts of words, or of those in `keep` only."""
     words = _WORD.findall(text.lower())
-    stems = [w[:_STEM] + "~" for w in words if len(w) > _STEM]
-    if keep is None:
-        return Counter(words) + Counter(stems)
-    found = Counter(filter(keep.__contains__, words))
-    found.update(filter(keep.__contains__, stems))
-    return found
+    return Counter(words if keep is None else filter(keep.__contains__, words))
 
 
 @dataclass
@@ -106,7 +99,7 @@ class BlockMaxIndex:
         return 1 / (1 + float(np.exp(-np.clip(z, -30, 30)))), places, sims
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int = 2000, max_terms: int = 2000, least: float = 4.0, k: int = 15, block: int = 32, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> BlockMaxIndex:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int = 2000, max_terms: int = 2000, least: float = 6.0, k: int = 15, block: int = 32, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> BlockMaxIndex:
     """Fit on at most ``max_each`` labelled rows of each class and ``max_terms`` terms.
 
     A term is kept if its share among toxic examples exceeds or falls short of
