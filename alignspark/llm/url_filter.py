@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -84,7 +86,8 @@ def reputation(outcomes: DataFrame, floor: float = 0.001, ceiling: float = 0.5,
     'all' alone, with a uniform prior.
     """
     hosts = outcomes.where("good IS NOT NULL AND host IS NOT NULL").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("good").cast("double")).alias("k"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    # all levels are made from the hosts' counts, so the outcomes are read once
+    hosts = common.written(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "host_outcomes")
     everything = hosts.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0.0)).alias("k")).select((F.col("k") + 1).alias("a"), (F.col("n") - F.col("k") + 1).alias("b"))
 
     def level(groups: DataFrame, key: str, above: DataFrame, on: str | None) -> DataFrame:
@@ -115,7 +118,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], le
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    known = reputation(outcomes, **prior)
+    known = common.written(reputation(outcomes, **prior), "reputation")
     hosts = rows.groupBy("host", "domain", "suffix").agg(F.lit(1).alias("one")).drop("one")
     found = hosts
     for name, on in (("host", "host"), ("domain", "domain"), ("suffix", "suffix")):
