@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +23,14 @@ def with_order(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Attach the order column: dense by the given columns, else increasing in file order (not dense).
 
     A dense number needs a global sort; its offsets come from one count for each
-    range partition, not from a single-partition window.
+    range partition, not from a single-partition window.  The sorted rows are
+    kept on disk, since a second sampling could cut the ranges elsewhere.
     """
     if not by:
         return df.withColumn(ORDER, F.monotonically_increasing_id())
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
     part = F.shiftright(F.col("_id"), 33)
     sizes = sorted(ranged.groupBy(part.alias("p")).count().collect(), key=lambda r: r["p"])  # one row a partition
     starts, at = [], 0
