@@ -135,8 +135,8 @@ def isolation_tolerance(spark: SparkSession, sf: str) -> DataFrame:
     return dml.isolate(e, F.col("value") <= 200, 1000, 5).good.select("event_id")
 
 
-@query(f"""WITH {_ISOLATE} SELECT chunk, count(*) AS total, count_if(run < 5 AND NOT bad) AS success, count_if(bad AND run <= 5) AS failed,
-    count_if(NOT (run < 5 AND NOT bad) AND NOT (bad AND run <= 5)) AS unprocessed FROM w GROUP BY chunk""")
+@query(f"""WITH {_ISOLATE} SELECT chunk, count(*) AS total, CAST(count_if(run < 5 AND NOT bad) AS BIGINT) AS success, CAST(count_if(bad AND run <= 5) AS BIGINT) AS failed,
+    CAST(count_if(NOT (run < 5 AND NOT bad) AND NOT (bad AND run <= 5)) AS BIGINT) AS unprocessed FROM w GROUP BY chunk""")
 def isolation_summary(spark: SparkSession, sf: str) -> DataFrame:
     e = _ordered(_t(spark, sf, "events").select("event_id", "value"), "event_id")
     return dml.isolate(e, F.col("value") <= 200, 1000, 5).summary.withColumnRenamed("_chunk", "chunk")
@@ -280,7 +280,7 @@ def outlier_all_rule(spark: SparkSession, sf: str) -> DataFrame:
     return outliers.flag(e, ["value", "user_id"], rule="all", limits=limits).where(outliers.FLAG).select("event_id")
 
 
-@query(f"WITH {_Q} SELECT count(*) AS total_rows, count_if({_BAD}) AS outlier_rows, count_if({_BAD}) / count(*) <= 0.05 AS within_cap FROM events, lim")
+@query(f"WITH {_Q} SELECT count(*) AS total_rows, CAST(count_if({_BAD}) AS BIGINT) AS outlier_rows, count_if({_BAD}) / count(*) <= 0.05 AS within_cap FROM events, lim")
 def outlier_cap(spark: SparkSession, sf: str) -> DataFrame:
     ok, s = outliers.within_cap(_t(spark, sf, "events").select("value"), ["value"])
     return spark.createDataFrame([(s.total_rows, s.outlier_rows, ok)], "total_rows long, outlier_rows long, within_cap boolean")
@@ -352,7 +352,7 @@ def dup_key_count(spark: SparkSession, sf: str) -> DataFrame:
     return profile.duplicate_count(_t(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT count_if(o_orderkey % 13 = 0) AS k, 0 AS o_custkey FROM orders")
+@query("SELECT CAST(count_if(o_orderkey % 13 = 0) AS BIGINT) AS k, 0 AS o_custkey FROM orders")
 def pk_null_count(spark: SparkSession, sf: str) -> DataFrame:
     return profile.null_counts(_orders(spark, sf).select(F.expr("if(o_orderkey % 13 = 0, NULL, o_orderkey)").alias("k"), "o_custkey"), ["k", "o_custkey"])
 
@@ -598,7 +598,7 @@ def harness_expected_cycle(spark: SparkSession, sf: str) -> DataFrame:
     return expected_states(p, ["p_partkey"], p.count())["update"].drop(ORDER)
 
 
-@query("SELECT count_if(s_suppkey % 7 = 0) AS missing, 0 AS unexpected, count_if(s_suppkey % 7 <> 0 AND s_suppkey % 5 = 0) AS different, count_if(s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0) AS equal FROM supplier")
+@query("SELECT CAST(count_if(s_suppkey % 7 = 0) AS BIGINT) AS missing, 0 AS unexpected, CAST(count_if(s_suppkey % 7 <> 0 AND s_suppkey % 5 = 0) AS BIGINT) AS different, CAST(count_if(s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0) AS BIGINT) AS equal FROM supplier")
 def compare_frames(spark: SparkSession, sf: str) -> DataFrame:
     s = _t(spark, sf, "supplier")
     actual = s.where("s_suppkey % 7 <> 0").withColumn("s_acctbal", F.expr("if(s_suppkey % 5 = 0, s_acctbal + 1000, s_acctbal * (1 + 1e-9))"))
