@@ -145,3 +145,22 @@ def test_helpers():
     assert retry(lambda: tries.append(1) or (1 / (len(tries) - 1)), 3, 0.01) == 1.0
     with pytest.raises(ZeroDivisionError):
         retry(lambda: 1 / 0, 2, 0.01)
+
+
+def test_execute_changes(spark, emp, tmp_path):
+    from alignspark.plans.analyze import Change
+    from alignspark.plans.execute import execute
+    from alignspark.plans.model import Policies
+
+    add = Change("ADD_COLUMN", "emp", "age", None, "INT", True)
+    widen = Change("WIDEN_COLUMN", "emp", "name", "50", "80", True)
+    dry = execute(emp, "emp", [add, widen], log=str(tmp_path / "log"))
+    assert dry.status == "DRY_RUN" and len(dry.sql) == 2 and "age" not in emp.columns("emp")
+    p = Policies()
+    p.ddl.enabled, p.ddl.dry_run = True, False
+    done = execute(emp, "emp", [add, widen], p)
+    assert done.status == "SUCCESS" and emp.spec("emp").columns["name"].max_length == 80 and emp.read("emp").count() == 3
+    assert execute(emp, "emp", [add], p).status == "FAILURE"
+    drop = Change("DROP_COLUMN", "emp", "age", None, None, False)
+    assert execute(emp, "emp", [drop], p).status == "FAILURE"  # unsafe changes need the policy's leave
+    assert execute(emp, "nowhere", [add], p).refused
