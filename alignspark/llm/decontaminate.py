@@ -3,27 +3,29 @@
 A mask is a fixed pattern of token positions that count (1) and that are
 ignored (0).  Benchmark and documents are hashed under every mask at every
 position and joined on the hash; a substitution under an ignored position does
-not disturb the hit.  With the default masks every window of 20 tokens keeps a
-hit under any 4 substitutions.  A hit fixes how item and document lie against
-each other; the item is then compared there token by token, and the pair is
-reported if some window of the item matches to the share ``share``.
-
-Plan: one scan of the documents with generators, hashes and a hash join in one
-code-generated stage; no shuffle of texts.  The benchmark's hashes are
-broadcast only if they are counted to be at most ``broadcast_rows``; beyond
-that the join shuffles.  Hits that merely continue a hit one token earlier are
-dropped before the comparison, so a copied passage is compared a few times.
+not disturb the hit.  With the default masks every window of 12 to 20 tokens
+keeps a hit when any fifth of its tokens is substituted.  A hit fixes how item
+and document lie against each other; the item is then compared there token by
+token, and the pair is reported if some window of the item matches to the share
+``share``.
+
+Plan: the first pass over the documents is generators, hashes and a hash join
+in one code-generated stage whose output rows are three numbers (document, item,
+how they lie); they are counted per document before the shuffle and written to
+the shared folder.  The second pass compares only documents that have a hit.
+The benchmark's hashes, its items, and the hits are broadcast only if they are
+counted to be at most ``broadcast_rows``; beyond that the joins shuffle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Spaced seeds of weight 6.
-MASKS = ("1101111", "1100010111", "1111011")
+from . import common
+
+#: Spaced seeds of weight 5.
+MASKS = ("111101", "1100111")
 _NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -52,6 +54,18 @@ def _at_every_position(df: DataFrame, tokens: str, at: str, keep: list[str], mas
     return masked.select(*keep, tokens, at, "_m", F.xxhash64("_m", *(F.get("_th", F.col(at) + F.col(f"_o{i}")) for i in range(weight))).alias("_h"))
 
 
+def _sent_if_small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def seed_hits(rows: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, item_id, shift (document position less item position) and the number of seeds that agree there."""
+    seeds = _at_every_position(items, "_it", "_q", ["item_id"], masks).select("_h", "_m", "item_id", "_q")
+    places = _at_every_position(rows, "_dt", "_p", ["doc_id"], masks).select("_h", "_m", "doc_id", "_p")
+    hits = places.join(_sent_if_small(seeds, broadcast_rows), ["_h", "_m"])
+    return hits.groupBy("doc_id", "item_id", (F.col("_p") - F.col("_q")).alias("shift")).agg(F.count("*").alias("seeds"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 20, share: float = 0.8, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of document and benchmark item that overlap: doc_id, item_id, matched, window.
 
@@ -63,27 +77,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     are not read.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_tokens(F.col(item_text)).alias("_it"))
-    seeds = _at_every_position(items, "_it", "_q", ["item_id"], masks).select("_h", "_m", "item_id", "_q", "_it")
-    n = seeds.limit(broadcast_rows + 1).count()
-    if n <= broadcast_rows:
-        seeds = F.broadcast(seeds)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_tokens(F.col(text_col)).alias("_dt"))
-    places = _at_every_position(rows, "_dt", "_p", ["doc_id"], masks)
-    hits = places.join(seeds, ["_h", "_m"])
-    before = [reduce(lambda a, b: a & b, (F.get("_dt", F.col("_p") + F.lit(i - 1)) == F.get("_it", F.col("_q") + F.lit(i - 1)) for i in _care(m))) for m in masks]
-    goes_on = reduce(lambda c, k: c.when(F.col("_m") == k, before[k]), range(len(masks)), F)
-    starts = hits.where((F.col("_p") == 0) | (F.col("_q") == 0) | ~F.coalesce(goes_on, F.lit(False)))
-    low = F.least("_p", "_q")
-    length = low + F.least(F.size("_dt") - F.col("_p"), F.size("_it") - F.col("_q"))
-    same = F.zip_with(F.slice("_dt", F.col("_p") - low + 1, length), F.slice("_it", F.col("_q") - low + 1, length), lambda a, b: (a == b).cast("int"))
-    compared = starts.select("doc_id", "item_id", same.alias("_same"), F.least(F.lit(window), F.size("_it")).alias("window"))
+    hits = common.written(seed_hits(rows, items, masks, broadcast_rows), "seed_hits").withColumnRenamed("doc_id", "_doc")
+    found = _sent_if_small(hits, broadcast_rows)
+    pairs = rows.join(found, rows["doc_id"].eqNullSafe(found["_doc"])).join(_sent_if_small(items, broadcast_rows), "item_id")
+    first = F.greatest(F.lit(0), -F.col("shift"))  # of the item's tokens that lie on the document
+    length = F.least(F.size("_it"), F.size("_dt") - F.col("shift")) - first
+    same = F.zip_with(F.slice("_dt", first + F.col("shift") + 1, length), F.slice("_it", first + 1, length), lambda a, b: (a == b).cast("int"))
+    compared = pairs.select("doc_id", "item_id", same.alias("_same"), F.least(F.lit(window), F.size("_it")).alias("window"))
     sums = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("_same") - F.col("window") + 1, F.lit(1))),
         lambda s: F.aggregate(F.slice("_same", s, F.col("window")), F.lit(0), lambda a, b: a + b),
     )
     best = compared.select("doc_id", "item_id", "window", F.array_max(sums).alias("matched"))
-    found = best.where(F.col("matched") >= F.ceil(F.col("window") * F.lit(share)))
-    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
+    close = best.where(F.col("matched") >= F.ceil(F.col("window") * F.lit(share)))
+    return close.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
