@@ -404,8 +404,11 @@ def _load(size: int, words: bytes, counts: bytes, cells: bytes, times: bytes) ->
     return _split(words, size), _unpack64(counts), np.cumsum(_unpack64(cells)), _unpack64(times)
 
 
+_SLICE = 1024
+
+
 def _totals(sent, n_contexts: int, sweeps: int, seed: int, turn: int):
-    """What each shard adds to the shared numbers: (name, n); a name from 0 is a context's tables, from `n_contexts` its customers."""
+    """What each shard adds to the shared numbers, in slices: tables and customers of each context, then four of the whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, k = sent.value, max(1, n_contexts)
@@ -419,12 +422,23 @@ def _totals(sent, n_contexts: int, sweeps: int, seed: int, turn: int):
                     tables, c, t, _, _ = model.chain(counts, cells, times, 1, sweeps, np.random.default_rng([seed, turn, shard]))
                     top, top_tables = c.sum(), t.sum()
                 n = np.concatenate((np.bincount(context, weights=tables, minlength=k), np.bincount(context, weights=times, minlength=k), [top, top_tables, (times == 1).sum(), (times == 2).sum()])).astype(np.int64)
-                used = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["name", "n"])
+                at = list(range(0, len(n), _SLICE))
+                yield pa.RecordBatch.from_pydict({"slice": at, "n": [_pack64(n[i : i + _SLICE]) for i in at]}, schema=_SUMS)
 
     return run
 
 
+_SUMS = pa.schema([("slice", pa.int64()), ("n", pa.binary())])
+
+
+def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sums[at] = sums[at] + _unpack64(n) if at in sums else _unpack64(n)
+    yield pa.RecordBatch.from_pydict({"slice": list(sums), "n": [_pack64(x) for x in sums.values()]}, schema=_SUMS)
+
+
 _REPLY = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("counts", pa.binary()), ("logs", pa.binary()), ("cell_logs", pa.binary())])
 
 
@@ -521,10 +535,12 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     model = None
     for turn in range(rounds + 1):
         sent = spark.sparkContext.broadcast(model)
-        found = table.mapInArrow(_totals(sent, len(known), burn, seed, turn), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).collect()  # 2 rows a context, and 4
+        slices = table.mapInArrow(_totals(sent, len(known), burn, seed, turn), "slice long, n binary").mapInArrow(_add_slices, "slice long, n binary")
+        found = slices.repartition(parts, "slice").mapInArrow(_add_slices, "slice long, n binary").collect()  # 2 numbers a context, and 4
         n = np.zeros(2 * k + 4)
         for r in found:
-            n[r["name"]] = r["n"]
+            part = _unpack64(bytes(r["n"]))
+            n[r["slice"] : r["slice"] + len(part)] = part
         if model is None:
             model = Model(size["n"], size["v"], strength, _discount(size["n1"], size["n2"]), _discount(int(n[-2]), int(n[-1])), 0.0, 0.0, n[k : 2 * k], n[:k])
         model = replace(model, root_customers=float(n[-4]), root_tables=float(n[-3]), tables=n[:k])
