@@ -12,13 +12,14 @@ from __future__ import annotations
 import functools
 import os
 import re
-
-import numpy as np
+import string
+import struct
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s")
-#: Punctuation that may be taken off the end of an all-letter word: it is a token of the pattern by itself.
-_TAIL = ".,;:!?"
+#: Punctuation that may be taken off the end of an all-letter word: a run of it is one match of the pattern.
+#: An apostrophe is not among it, as the pattern may join it to letters.
+_TAIL = string.punctuation.replace("'", "")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,8 +32,12 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+def _ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Pieces(dict):
-    """Piece (without its leading space) -> value; at most two generations of `limit` entries."""
+    """Piece (without its leading space) -> value; at most two generations of `limit` entries, long pieces left out."""
 
     def __init__(self, make, limit: int) -> None:
         super().__init__()
@@ -53,7 +58,7 @@ class Pieces(dict):
 class ByteBpe:
     """Encoder for one tokenizer file."""
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -65,21 +70,30 @@ class ByteBpe:
         self._simple = str(self.tokenizer.normalizer) == "None"
         self.pieces = Pieces(self._piece, limit)
         self.tails = Pieces(self._whole, 10_000)
-        self.sizes = Pieces(lambda piece: len(self.pieces[piece]) // 4, limit)
+        self.sizes = Pieces(self._size, limit)
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        head = piece.rstrip(_TAIL)
-        # below U+0250 letters are the same set in every Unicode version in use
-        if head and self._simple and head.isalpha() and max(head) < "ɐ":
-            if head != piece:
+        if self._simple:
+            if piece.isascii():
+                if piece.isalpha():
+                    return _ids([t.id for t in self.model.tokenize(self._space + piece)])
+            # below U+0250 letters are the same set in every Unicode version in use
+            elif piece.isalpha() and max(piece) < "ɐ":
+                return _ids([t.id for t in self.model.tokenize(self._space + "".join(map(self._letters.__getitem__, piece.encode("utf-8"))))])
+            head = piece.rstrip(_TAIL)
+            if head and head != piece and head.isalpha() and max(head) < "ɐ":
                 return self.pieces[head] + self.tails[piece[len(head) :]]
-            word = head if head.isascii() else "".join(map(self._letters.__getitem__, head.encode("utf-8")))
-            return np.asarray([t.id for t in self.model.tokenize(self._space + word)], "<u4").tobytes()
         return self._whole(" " + piece)
 
+    def _size(self, piece: str) -> int:
+        head = piece.rstrip(_TAIL)
+        if self._simple and head and head != piece and head.isalpha() and max(head) < "ɐ":
+            return self.sizes[head] + len(self.tails[piece[len(head) :]]) // 4
+        return len(self._piece(piece)) // 4
+
     def _cut(self, text: str) -> list[str]:
         return _CUT.split(text) if _ODD.search(text) or text[0].isspace() or text[-1].isspace() else text.split(" ")
 
