@@ -506,7 +506,7 @@ def _score(sent, n: int, v: int):
     return run
 
 
-def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_share: float = 1e-4, rounds: int = 2, sweeps: int = 6, burn: int = 6, strength: float = 1.0, seed: int = 7, shards: int | None = None, block_bytes: int = 12 << 20) -> DataFrame:
+def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_share: float = 1e-4, rounds: int = 2, sweeps: int = 6, burn: int = 6, strength: float = 1.0, seed: int = 7, shards: int | None = None, block_bytes: int = 6 << 20) -> DataFrame:
     """Scores of all texts: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32 of the id is not 2 modulo 7; scores are log10
