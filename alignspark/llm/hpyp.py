@@ -7,14 +7,14 @@ Contexts are the preceding tokens whose share of the training tokens is at
 least ``context_share``, so there are at most 1 / context_share of them however
 large the corpus; after any other token a word comes from the parent directly.
 
-Seating is kept as customers and tables of each dish.  A Gibbs step takes one
-customer of every dish away (alone at a table with the probability that its
-state implies, from generalised Stirling numbers) and seats it again, at a new
-table with probability proportional to (strength + discount * tables) times the
-parent's probability of the dish, or at an old one; each table of a context is
-a customer of the parent.  All dishes step together and restaurants' tables are
-recounted between steps.  First seating follows the same rule in growing groups
-of customers.  Predictive probabilities are averaged over sweeps after burn-in.
+Seating is kept as customers and tables of each dish.  Each table of a context
+is a customer of the parent.  A dish's tables t have, given all others, the
+probability S(c, t) (strength + discount * others | discount)_t p ** t, with
+generalised Stirling numbers S and the parent's probability p of the dish.
+Dishes of up to 256 customers draw t from it; in larger ones every customer
+leaves its table and is seated again, in groups, once a sweep.  Half of the
+dishes go at a time, and restaurants' tables are recounted between.
+Predictive probabilities are averaged over sweeps after burn-in.
 
 The state is sharded by the hash of the word, so that a word's cells under all
 contexts and its place in the parent live together, and a word can have no more
@@ -291,6 +291,14 @@ def _log_stirling(discount: float, n: int = _EXACT) -> np.ndarray:
     return out
 
 
+def _singles(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of tables' mean sizes, and the share of tables with one customer, for sizes n of weight x ** n (1-d)(2-d)...(n-1-d) / n!."""
+    low, high = np.geomspace(1e-12, 0.5, 2048), np.geomspace(0.5, 1e-300, 4096)[1:]  # x itself, then 1 - x
+    log_x, log_rest = np.concatenate((np.log(low), np.log1p(-high))), np.concatenate((np.log1p(-low), np.log(high)))
+    g = -np.expm1(discount * log_rest) / discount
+    return log_x + (discount - 1) * log_rest - np.log(g), np.exp(log_x) / g
+
+
 class Seating:
     """Customers c and tables t of the dishes of one level; `room` says which restaurant a dish belongs to."""
 
@@ -298,43 +306,77 @@ class Seating:
         self.c, self.room, self.rooms = c.astype(np.int64), room, rooms
         self.d, self.strength, self.rng, self.other = discount, strength, rng, other_tables
         self.t = np.minimum(self.c, 1)
-        self.stirling = _log_stirling(discount)
+        self.stirling, self.singles = _log_stirling(discount), _singles(discount)
 
     def totals(self) -> np.ndarray:
         return np.bincount(self.room, weights=self.t, minlength=self.rooms) + self.other
 
     def seat(self, p: np.ndarray) -> None:
-        """First seating: customers enter in groups of an eighth of those already in."""
+        """First seating: a table for each dish, then a sweep."""
         self.t = np.minimum(self.c, 1)
-        n, live = self.t.copy(), np.flatnonzero(self.c > 1)
-        while len(live):
-            m = np.minimum(self.c[live] - n[live], np.maximum(1, n[live] // 8))
-            new = (self.strength + self.d * self.totals()[self.room[live]]) * p[live]
-            share = new / (new + np.maximum(n[live] - self.d * self.t[live], 1e-9))
-            self.t[live] += self.rng.binomial(m, np.clip(share, 0, 1))
-            n[live] += m
-            live = live[n[live] < self.c[live]]
+        self.sweep(p)
 
     def alone(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Probability that a customer sits alone: S(c-1, t-1) / S(c, t); asymptotic beyond the exact table."""
-        out = np.minimum(1.0, self.d * (t - 1) / np.maximum(c - 1, 1))
+        """Probability that a customer sits alone: S(c-1, t-1) / S(c, t).
+
+        Beyond the exact table, by the share of single customers among tables
+        whose sizes have the mean c / t; d * (t - 1) / (c - 1) for few tables.
+        """
+        out = (t - 1) / np.maximum(c - 1, 1) * np.interp(np.log(c / np.maximum(t, 1)), *self.singles)
         small = c <= _EXACT
         cs, ts = c[small], t[small]
         out[small] = np.exp(self.stirling[cs - 1, ts - 1] - self.stirling[cs, ts])
         out[t >= c] = 1.0
-        return out
+        return np.minimum(out, 1.0)
 
-    def sweep(self, p: np.ndarray, steps: int = 4) -> None:
+    def sweep(self, p: np.ndarray, leaps: int = 16) -> None:
+        """New table counts of all dishes, in two random halves between which the restaurants' tables are recounted.
+
+        Up to _EXACT customers a dish's count is drawn from its conditional
+        distribution.  Of larger dishes every customer moves once, in `leaps`
+        groups whose tables opened and closed are binomial.
+        """
         live = np.flatnonzero(self.c > 1)
-        if not len(live):
+        half = self.rng.random(len(live)) < 0.5
+        for part in (live[half], live[~half]):
+            if not len(part):
+                continue
+            others = self.totals()[self.room[part]] - self.t[part]
+            c = self.c[part]
+            small = c <= _EXACT
+            self._draw(part[small], others[small], p[part[small]])
+            self._move(part[~small], others[~small], p[part[~small]], leaps)
+
+    def _draw(self, at: np.ndarray, others: np.ndarray, p: np.ndarray, step: int = 1 << 18) -> None:
+        if not len(at):
+            return
+        c = self.c[at]
+        order = np.argsort(c, kind="stable")
+        sizes, starts = np.unique(c[order], return_index=True)
+        log_p, base = np.log(p), self.strength + self.d * others
+        for n, lo, hi in zip(sizes.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+            for a in range(lo, hi, max(1, step // n)):
+                i = order[a : min(hi, a + max(1, step // n))]
+                logs = np.log(np.maximum(base[i, None] + self.d * np.arange(n), 1e-300))
+                np.cumsum(logs, axis=1, out=logs)
+                logs += self.stirling[n, 1 : n + 1] + log_p[i, None] * np.arange(1, n + 1)
+                logs -= logs.max(axis=1, keepdims=True)
+                w = np.cumsum(np.exp(logs, out=logs), axis=1)
+                self.t[at[i]] = 1 + np.minimum((w < self.rng.random(len(i))[:, None] * w[:, -1:]).sum(axis=1), n - 1)
+
+    def _move(self, at: np.ndarray, others: np.ndarray, p: np.ndarray, leaps: int) -> None:
+        if not len(at):
             return
-        c, room, p = self.c[live], self.room[live], p[live]
-        for _ in range(steps):
-            t = self.t[live]
-            t = t - (self.rng.random(len(live)) < self.alone(c, t))
-            new = (self.strength + self.d * self.totals()[room]) * p
-            old = np.maximum(c - 1 - self.d * t, 0)
-            self.t[live] = t + ((self.rng.random(len(live)) < new / (new + old)) | (t == 0))
+        c, t = self.c[at], self.t[at]
+        m = -(-c // leaps)
+        for _ in range(leaps):
+            alone = self.alone(c, t)
+            rest, less = (self.strength + self.d * (others + t)) * p, (self.strength + self.d * (others + t - 1)) * p
+            opens = rest / (rest + np.maximum(c - 1 - self.d * t, 1e-9))
+            shuts = np.maximum(c - 1 - self.d * (t - 1), 0)
+            shuts = shuts / np.maximum(shuts + less, 1e-300)
+            t = np.clip(t + self.rng.binomial(m, np.clip((1 - alone) * opens, 0, 1)) - self.rng.binomial(m, np.clip(alone * shuts, 0, 1)), 1, c)
+        self.t[at] = t
 
 
 def _discount(n1: int, n2: int) -> float:

@@ -117,3 +117,21 @@ def test_probabilities_sum_to_one():
         here = cells % k == c
         rest = np.setdiff1d(np.arange(50), cells[here] // k)
         assert p_cell[here].sum() + back[c] * (p_word[rest].sum() + model.unknown()) == pytest.approx(1.0, abs=0.1)
+
+
+@pytest.mark.parametrize("c,weight", [(300, 5.0), (3000, 5.0), (3000, 50.0)])
+def test_large_dishes_reach_the_exact_distribution(c, weight):
+    """With a constant weight a of new tables p(t) is proportional to S(c, t) a ** t."""
+    d, strength, rooms = 0.8, 1e9, 2000
+    logs = hpyp._log_stirling(d, c)[c, 1:] + np.arange(1, c + 1) * math.log(weight)
+    want = np.exp(logs - logs.max())
+    want /= want.sum()
+    mean = want @ np.arange(1, c + 1)
+    deviation = math.sqrt(want @ (np.arange(1, c + 1) - mean) ** 2)
+    p = np.full(rooms, weight / strength)
+    seats = hpyp.Seating(np.full(rooms, c), np.arange(rooms), rooms, d, strength, np.random.default_rng(1))
+    seats.seat(p)
+    for _ in range(12):
+        seats.sweep(p)
+    assert abs(seats.t.mean() - mean) < 0.2 * deviation
+    assert abs(seats.t.std() - deviation) < 0.2 * deviation
