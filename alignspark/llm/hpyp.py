@@ -3,9 +3,8 @@
 The words that may follow a context sit in that context's restaurant; all
 context restaurants share one parent, the restaurant of the empty context, over
 the uniform distribution of the V distinct training tokens and one unknown.
-Contexts are the preceding tokens whose share of the training tokens is at
-least ``context_share``, so there are at most 1 / context_share of them however
-large the corpus; after any other token a word comes from the parent directly.
+Every token that occurs in training is a context, however rare; after a token
+that does not, a word comes from the parent directly.
 
 Seating is kept as customers and tables of each dish.  Each table of a context
 is a customer of the parent.  A dish's tables t have, given all others, the
@@ -17,15 +16,17 @@ dishes go at a time, and restaurants' tables are recounted between.
 Predictive probabilities are averaged over sweeps after burn-in.
 
 The state is sharded by the hash of the word, so that a word's cells under all
-contexts and its place in the parent live together, and a word can have no more
-cells than there are contexts: no hot key.  What shards share are the numbers
-of customers and tables of each restaurant, counted again after every round;
-within a round a shard sees its own changes only.
+contexts and its place in the parent live together, and a context's cells are
+spread over all shards.  Each shard numbers its words by their frequency, and a
+word's id is made of its number and its shard.  The customers and tables of a
+context's restaurant are added up by the shard that owns the context's word and
+returned to the shards that have cells of it, before every round; within a round
+a shard sees its own changes only.  Seating is kept from round to round.
 
 Texts are read once, into a table of blocks of documents in the shared folder.
-Every block asks the shards for the probabilities of its words and cells and is
-scored from the answers, so no task holds the vocabulary, and what is gathered
-is every training token's count.
+Every block asks the shards for the probabilities of its words and cells, and
+for the parent's weight after each of its words, and is scored from the answers,
+so no task, and not the driver, holds the vocabulary or the contexts.
 """
 
 from __future__ import annotations
@@ -145,136 +146,221 @@ def _blocks(shards: int, block_bytes: int):
     return run
 
 
-def _cells(words: list[bytes], tokens: np.ndarray, lengths: np.ndarray, contexts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """For every token, its cell's key (place * contexts + context), or -1 after a token that is no context."""
-    k = max(1, len(contexts))
-    context = np.array([contexts.get(w, -1) for w in words], np.int64)
+def _cells(ids: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For every token, its cell's key (place * words + place of the token before), or -1 after a token that was not learnt."""
     before = np.empty(len(tokens), np.int64)
     before[1:] = tokens[:-1]
     ends = np.cumsum(lengths)
     # a text begins after the end token of another
     before[np.concatenate(([0], ends[:-1]))] = tokens[ends - 1]
-    c = context[before]
-    return np.where(c >= 0, tokens * k + c, -1), c
+    return np.where(ids[before] > 0, tokens * len(ids) + before, -1)
 
 
-_COUNTED = pa.schema([("shard", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
+_COUNTED = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
+_COUNTED_SQL = "shard long, block long, size long, words binary, counts binary"
 
 
 def _word_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each block and shard: the block's words of that shard and their training counts."""
     for batch in batches:
-        for words, sizes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for block, words, sizes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             sizes, counts = _unpack(sizes), _unpack(counts)
             listed, ends = _split(words, len(counts)), np.cumsum(sizes)
             for s in np.flatnonzero(sizes).tolist():
                 part = slice(int(ends[s] - sizes[s]), int(ends[s]))
-                yield pa.RecordBatch.from_pydict({"shard": [s], "size": [int(sizes[s])], "words": [_join(listed[part])], "counts": [_pack(counts[part])]}, schema=_COUNTED)
+                yield pa.RecordBatch.from_pydict({"shard": [s], "block": [block], "size": [int(sizes[s])], "words": [_join(listed[part])], "counts": [_pack(counts[part])]}, schema=_COUNTED)
 
 
-_WORD = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64())])
+_NUMBERED = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64())])
+_NUMBERED_SQL = "block long, shard long, ids binary, n long, v long, n1 long, n2 long"
 
 
-def _count_words(share: float):
-    """Parts sorted by shard: the shard's totals, and its words with at least `share` of the shard's tokens or of `least`."""
+def _number(shards: int):
+    """Parts sorted by shard: for each, 1 + the words' ids (0 where not learnt), and a row without block of the shard's totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, {}
-
-        def close() -> pa.RecordBatch:
-            counts = np.fromiter(total.values(), np.int64, len(total))
-            n = int(counts.sum())
-            # a word with the share of all tokens has it of its shard's tokens too
-            often = [(w, c) for w, c in total.items() if c >= share * n]
-            sums = (n, len(counts), int((counts == 1).sum()), int((counts == 2).sum()))
-            columns = zip(*([(None, *sums)] + [(w, c, 0, 0, 0) for w, c in often]), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _WORD, strict=True)], schema=_WORD)
+        now, index, parts, seen = None, _Index(), [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(index), np.int64)
+            for (_, own), c in zip(parts, seen, strict=True):
+                total[own] += c
+            rank = np.empty(len(total), np.int64)
+            rank[np.argsort(-total, kind="stable")] = np.cumsum(total[np.argsort(-total, kind="stable")] > 0) - 1
+            ids = np.where(total > 0, rank * shards + now + 1, 0)
+            for block, own in parts:
+                yield pa.RecordBatch.from_pylist([{"block": block, "shard": now, "ids": _pack(ids[own])}], schema=_NUMBERED)
+            yield pa.RecordBatch.from_pylist([{"n": int(total.sum()), "v": int((total > 0).sum()), "n1": int((total == 1).sum()), "n2": int((total == 2).sum())}], schema=_NUMBERED)
 
         for batch in batches:
-            for shard, size, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, block, size, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != now:
                     if now is not None:
-                        yield close()
-                    now, total = shard, {}
-                for w, c in zip(_split(words, size), _unpack(counts).tolist(), strict=True):
-                    if c:
-                        total[w] = total.get(w, 0) + c
+                        yield from close()
+                    now, index, parts, seen = shard, _Index(), [], []
+                parts.append((block, np.fromiter(map(index.__getitem__, _split(words, size)), np.int32, size)))
+                seen.append(_unpack(counts).astype(np.uint32))
         if now is not None:
-            yield close()
+            yield from close()
 
     return run
 
 
-_REQUEST = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("spans", pa.binary()), ("contexts", pa.binary()), ("times", pa.binary())])
-_REQUEST_SQL = "shard long, block long, size long, words binary, counts binary, spans binary, contexts binary, times binary"
+_KNOWN = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("places", pa.binary())])
+_KNOWN_SQL = "block long, ids binary, sizes binary, counts binary, doc_ids array<long>, train array<boolean>, lengths binary, places binary"
 
 
-def _requests(sent):
-    """A row for each block and shard: words, training counts, and the words' cells with their training counts."""
+def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, kind and shard: the ids of its words (kind 0), then the block itself (kind 1), whose words become ids."""
+    ids: list[np.ndarray] = []
+    for batch in batches:
+        for block, kind, part, sizes, counts, doc_ids, train, lengths, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if kind == 0:
+                ids.append(_unpack(part))
+                continue
+            yield pa.RecordBatch.from_pydict({"block": [block], "ids": [_pack(np.concatenate(ids))], "sizes": [sizes], "counts": [counts], "doc_ids": [doc_ids], "train": [train], "lengths": [lengths], "places": [places]}, schema=_KNOWN)
+            ids = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        k = max(1, len(known))
-        for batch in batches:
-            for block, words, sizes, counts, train, lengths, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sizes, counts, lengths, tokens = _unpack(sizes), _unpack(counts), _unpack(lengths), _unpack(places)
-                listed = _split(words, len(counts))
-                keys, _ = _cells(listed, tokens, lengths, known)
-                learn = np.repeat(np.array(train), lengths)
-                cells, at = np.unique(keys[keys >= 0], return_inverse=True)
-                times = np.bincount(at, weights=learn[keys >= 0], minlength=len(cells)).astype(np.int64)
-                spans = np.bincount(cells // k, minlength=len(listed))
-                starts = np.concatenate(([0], np.cumsum(spans)))
-                ends = np.cumsum(sizes)
-                for s in np.flatnonzero(sizes).tolist():
-                    a, b = int(ends[s] - sizes[s]), int(ends[s])
-                    x, y = int(starts[a]), int(starts[b])
-                    yield pa.RecordBatch.from_pydict(
-                        {"shard": [s], "block": [block], "size": [b - a], "words": [_join(listed[a:b])], "counts": [_pack(counts[a:b])], "spans": [_pack(spans[a:b])], "contexts": [_pack(cells[x:y] % k)], "times": [_pack(times[x:y])]},
-                        schema=_REQUEST,
-                    )
 
-    return run
+_REQUEST = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("spans", pa.binary()), ("contexts", pa.binary()), ("times", pa.binary())])
+_REQUEST_SQL = "shard long, block long, ids binary, counts binary, spans binary, contexts binary, times binary"
+
+
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block and shard: word ids, training counts, and the words' cells (context ids) with their training counts."""
+    for batch in batches:
+        for block, ids, sizes, counts, train, lengths, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids, sizes, counts, lengths, tokens = _unpack(ids), _unpack(sizes), _unpack(counts), _unpack(lengths), _unpack(places)
+            keys = _cells(ids, tokens, lengths)
+            learn = np.repeat(np.array(train), lengths)
+            cells, at = np.unique(keys[keys >= 0], return_inverse=True)
+            times = np.bincount(at, weights=learn[keys >= 0], minlength=len(cells)).astype(np.int64)
+            contexts = ids[cells % len(ids)] - 1
+            spans = np.bincount(cells // len(ids), minlength=len(ids))
+            starts = np.concatenate(([0], np.cumsum(spans)))
+            ends = np.cumsum(sizes)
+            for s in np.flatnonzero(sizes).tolist():
+                a, b = int(ends[s] - sizes[s]), int(ends[s])
+                x, y = int(starts[a]), int(starts[b])
+                yield pa.RecordBatch.from_pydict(
+                    {"shard": [s], "block": [block], "ids": [_pack(ids[a:b])], "counts": [_pack(counts[a:b])], "spans": [_pack(spans[a:b])], "contexts": [_pack(contexts[x:y])], "times": [_pack(times[x:y])]},
+                    schema=_REQUEST,
+                )
 
 
-_SHARD = pa.schema([("shard", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("cells", pa.binary()), ("times", pa.binary())])
-_SHARD_SQL = "shard long, size long, words binary, counts binary, cells binary, times binary"
+def _own(ids: np.ndarray, shards: int) -> np.ndarray:
+    """A shard's numbers of its words from 1 + their ids; -1 where not learnt."""
+    return np.where(ids > 0, (ids - 1) // shards, -1)
 
 
-def _sum_shards(n_contexts: int):
-    """Requests sorted by shard to one row for each shard: its training words and cells with their counts."""
-    k = max(1, n_contexts)
+def _owned(contexts: np.ndarray, shards: int) -> np.ndarray:
+    """Context ids as keys that sort by owner and number."""
+    return (contexts % shards) << 40 | contexts // shards
+
+
+_STATE = pa.schema([("shard", pa.int64()), ("counts", pa.binary()), ("contexts", pa.binary()), ("cells", pa.binary()), ("times", pa.binary()), ("seats", pa.binary()), ("word_seats", pa.binary()), ("customers", pa.int64()), ("tables", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64())])
+_STATE_SQL = "shard long, counts binary, contexts binary, cells binary, times binary, seats binary, word_seats binary, customers long, tables long, n1 long, n2 long"
+
+
+def _sum_shards(shards: int):
+    """Requests sorted by shard to one row for each shard: its training words, contexts and cells, with a table for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, index, word_at, word_n, cell_at, cell_n = None, _Index(), [], [], [], []
+        now, words, word_n, at, near, n = None, [], [], [], [], []
 
         def close() -> pa.RecordBatch:
-            counts = np.bincount(np.concatenate(word_at), weights=np.concatenate(word_n), minlength=len(index)).astype(np.int64)
-            cells, at = np.unique(np.concatenate(cell_at), return_inverse=True)
-            times = np.bincount(at, weights=np.concatenate(cell_n), minlength=len(cells)).astype(np.int64)
-            row = {"shard": now, "size": len(index), "words": _join(list(index)), "counts": _pack64(counts), "cells": _pack64(np.diff(cells, prepend=0)), "times": _pack64(times)}
-            return pa.RecordBatch.from_pylist([row], schema=_SHARD)
+            counts = np.bincount(np.concatenate(words), weights=np.concatenate(word_n)).astype(np.int64)
+            contexts, where = np.unique(np.concatenate(near), return_inverse=True)
+            near.clear()
+            cells, where = np.unique(np.concatenate(at) * max(1, len(contexts)) + where, return_inverse=True)
+            times = np.bincount(where, weights=np.concatenate(n), minlength=len(cells)).astype(np.int64)
+            row = {"shard": now, "counts": _pack64(counts), "contexts": _pack64(np.diff(contexts, prepend=0)), "cells": _pack64(np.diff(cells, prepend=0)), "times": _pack64(times), "seats": _pack64(np.ones(len(cells))), "word_seats": _pack64(np.ones(len(counts)))}
+            row |= {"customers": int(counts.sum()), "tables": len(counts), "n1": int((times == 1).sum()), "n2": int((times == 2).sum())}
+            return pa.RecordBatch.from_pylist([row], schema=_STATE)
 
         for batch in batches:
-            for shard, _, size, words, counts, spans, contexts, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, _, ids, counts, spans, contexts, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != now:
                     if now is not None:
                         yield close()
-                    now, index, word_at, word_n, cell_at, cell_n = shard, _Index(), [], [], [], []
-                counts, spans, contexts, times = _unpack(counts), _unpack(spans), _unpack(contexts), _unpack(times)
-                listed = _split(words, size)
-                own = np.array([index[w] if c else -1 for w, c in zip(listed, counts.tolist(), strict=True)], np.int64)
-                word_at.append(own[own >= 0])
-                word_n.append(counts[own >= 0])
+                    now, words, word_n, at, near, n = shard, [], [], [], [], []
+                own, counts, times = _own(_unpack(ids), shards), _unpack(counts), _unpack(times)
+                words.append(own[counts > 0])
+                word_n.append(counts[counts > 0])
                 learnt = times > 0
-                cell_at.append((np.repeat(own, spans) * k + contexts)[learnt])
-                cell_n.append(times[learnt])
+                at.append(np.repeat(own, _unpack(spans))[learnt])
+                near.append(_owned(_unpack(contexts)[learnt], shards))
+                n.append(times[learnt].astype(np.uint32))
         if now is not None:
             yield close()
 
     return run
 
 
+@dataclass
+class _Shard:
+    """A shard's words and cells with their counts and tables."""
+
+    counts: np.ndarray
+    contexts: np.ndarray
+    cells: np.ndarray
+    times: np.ndarray
+    seats: np.ndarray
+    word_seats: np.ndarray
+
+    @classmethod
+    def load(cls, counts: bytes, contexts: bytes, cells: bytes, times: bytes, seats: bytes, word_seats: bytes) -> _Shard:
+        return cls(_unpack64(counts), np.cumsum(_unpack64(contexts)), np.cumsum(_unpack64(cells)), _unpack64(times), _unpack64(seats), _unpack64(word_seats))
+
+
+_PART = pa.schema([("owner", pa.int64()), ("shard", pa.int64()), ("numbers", pa.binary()), ("customers", pa.binary()), ("tables", pa.binary())])
+_PART_SQL = "owner long, shard long, numbers binary, customers binary, tables binary"
+
+
+def _context_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shard and owner of contexts: the contexts' numbers, and the customers and tables that the shard has of them."""
+    for batch in batches:
+        for shard, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x = _Shard.load(*packed)
+            k = max(1, len(x.contexts))
+            customers, tables = (np.bincount(x.cells % k, weights=w, minlength=k).astype(np.int64) for w in (x.times, x.seats))
+            owners, starts = np.unique(x.contexts >> 40, return_index=True)
+            ends = [*starts[1:].tolist(), len(x.contexts)][: len(owners)]
+            for owner, a, b in zip(owners.tolist(), starts.tolist(), ends, strict=True):
+                numbers = x.contexts[a:b] & ((1 << 40) - 1)
+                yield pa.RecordBatch.from_pydict({"owner": [owner], "shard": [shard], "numbers": [_pack(np.diff(numbers, prepend=0))], "customers": [_pack64(customers[a:b])], "tables": [_pack64(tables[a:b])]}, schema=_PART)
+
+
+_TOTAL = pa.schema([("shard", pa.int64()), ("owner", pa.int64()), ("customers", pa.binary()), ("tables", pa.binary())])
+_TOTAL_SQL = "shard long, owner long, customers binary, tables binary"
+
+
+def _context_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts sorted by owner: the totals of each part's contexts for its shard, and of all for the owner itself (owner -1)."""
+    now, parts, customers, tables = None, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def close() -> Iterator[pa.RecordBatch]:
+        for shard, packed in parts:
+            at = np.cumsum(_unpack(packed))
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "owner": [now], "customers": [_pack64(customers[at])], "tables": [_pack64(tables[at])]}, schema=_TOTAL)
+        yield pa.RecordBatch.from_pydict({"shard": [now], "owner": [-1], "customers": [_pack64(customers)], "tables": [_pack64(tables)]}, schema=_TOTAL)
+
+    for batch in batches:
+        for owner, shard, numbers, c, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if owner != now:
+                if now is not None:
+                    yield from close()
+                now, parts, customers, tables = owner, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+            at = np.cumsum(_unpack(numbers))
+            more = max(0, int(at[-1]) + 1 - len(customers))
+            customers, tables = np.pad(customers, (0, more)), np.pad(tables, (0, more))
+            customers[at] += _unpack64(c)
+            tables[at] += _unpack64(t)
+            parts.append((shard, numbers))
+    if now is not None:
+        yield from close()
+
+
 # --- seating ---------------------------------------------------------------
 
 
@@ -305,11 +391,16 @@ class Seating:
     def __init__(self, c: np.ndarray, room: np.ndarray, rooms: int, discount: float, strength: float, rng: np.random.Generator, other_tables: float | np.ndarray = 0.0) -> None:
         self.c, self.room, self.rooms = c.astype(np.int64), room, rooms
         self.d, self.strength, self.rng, self.other = discount, strength, rng, other_tables
-        self.t = np.minimum(self.c, 1)
+        self.t, self.single = np.minimum(self.c, 1), None
         self.stirling, self.singles = _log_stirling(discount), _singles(discount)
 
     def totals(self) -> np.ndarray:
-        return np.bincount(self.room, weights=self.t, minlength=self.rooms) + self.other
+        if self.rooms == 1:
+            return np.array([float(self.t.sum())]) + self.other
+        if self.single is None:  # dishes of one customer keep their table
+            self.single = np.bincount(self.room[self.c <= 1], weights=self.t[self.c <= 1], minlength=self.rooms)
+        live = np.flatnonzero(self.c > 1)
+        return self.single + np.bincount(self.room[live], weights=self.t[live], minlength=self.rooms) + self.other
 
     def seat(self, p: np.ndarray) -> None:
         """First seating: a table for each dish, then a sweep."""
@@ -385,7 +476,7 @@ def _discount(n1: int, n2: int) -> float:
 
 @dataclass
 class Model:
-    """What all shards share; its size is bounded by the number of contexts."""
+    """What all shards share, and the restaurants of the contexts that one shard has."""
 
     n: int  # training tokens
     v: int  # distinct training tokens
@@ -397,39 +488,42 @@ class Model:
     customers: np.ndarray  # of each context's restaurant
     tables: np.ndarray
 
-    def chain(self, counts: np.ndarray, cells: np.ndarray, times: np.ndarray, sweeps: int, burn: int, rng: np.random.Generator):
-        """Gibbs sweeps over one shard: tables of the cells, customers and tables of the words, averaged probabilities."""
+    def chain(self, counts: np.ndarray, cells: np.ndarray, times: np.ndarray, sweeps: int, burn: int, rng: np.random.Generator, seats: np.ndarray | None = None, word_seats: np.ndarray | None = None):
+        """Gibbs sweeps over one shard, from a given seating or a first one: tables of the cells, customers and tables of the words, averaged probabilities."""
         k = max(1, len(self.customers))
         word, context = cells // k, cells % k
         direct = counts - np.bincount(word, weights=times, minlength=len(counts)).astype(np.int64)
         uniform = np.full(len(counts), 1.0 / (self.v + 1))
         low = Seating(times, context, k, self.cell_discount, self.strength, rng)
         top = Seating(direct + np.bincount(word, minlength=len(counts)), np.zeros(len(counts), np.int64), 1, self.word_discount, self.strength, rng)
-        top.seat(uniform)
-        p_word, p_cell = np.zeros(len(counts)), np.zeros(len(cells))
-        back = self.back()
-        for turn in range(burn + sweeps):
-            p = self.word(top.c, top.t, uniform)
-            if turn == 0:
-                low.other = np.maximum(self.tables - np.bincount(context, minlength=k), 0)
-                low.seat(p[word])
-                low.other = np.maximum(self.tables - np.bincount(context, weights=low.t, minlength=k), 0)
-            else:
-                low.sweep(p[word])
+        if seats is None:
+            top.seat(uniform)
+            low.other = np.maximum(self.tables - low.totals(), 0)
+            low.seat(self.word(top.c, top.t, uniform)[word])
             top.c = direct + np.bincount(word, weights=low.t, minlength=len(counts)).astype(np.int64)
+            top.other = max(0.0, self.root_tables - float(len(counts)))
+            top.seat(uniform)
+            low.other, top.other = 0.0, 0.0
+        else:
+            low.t, top.t = seats.copy(), word_seats.copy()
+            top.c = direct + np.bincount(word, weights=low.t, minlength=len(counts)).astype(np.int64)
+        low.other = np.maximum(self.tables - low.totals(), 0)
+        top.other = max(0.0, self.root_tables - float(top.t.sum()))
+        fixed = direct + np.bincount(word[times <= 1], minlength=len(counts))
+        live = np.flatnonzero(times > 1)
+        p_word, tables = np.zeros(len(counts)), np.zeros(len(cells))
+        for turn in range(burn + sweeps):
+            low.sweep(self.word(top.c, top.t, uniform)[word])
+            top.c = fixed + np.bincount(word[live], weights=low.t[live], minlength=len(counts)).astype(np.int64)
             top.t = np.clip(top.t, np.minimum(top.c, 1), top.c)
-            if turn == 0:
-                top.other = max(0.0, self.root_tables - float(len(counts)))
-                top.seat(uniform)
-                top.other = max(0.0, self.root_tables - float(top.t.sum()))
-            else:
-                top.sweep(uniform)
+            top.sweep(uniform)
             if turn >= burn:
-                p = self.word(top.c, top.t, uniform)
-                p_word += p
-                p_cell += (times - self.cell_discount * low.t) / (self.strength + self.customers[context]) + back[context] * p[word]
+                p_word += self.word(top.c, top.t, uniform)
+                tables += low.t
         kept = max(1, sweeps)
-        return low.t, top.c, top.t, p_word / kept, p_cell / kept
+        p_word, tables = p_word / kept, tables / kept
+        p_cell = (times - self.cell_discount * tables) / (self.strength + self.customers[context]) + self.back()[context] * p_word[word] if len(cells) else tables
+        return low.t, top.c, top.t, p_word, p_cell
 
     def word(self, c: np.ndarray, t: np.ndarray, uniform: np.ndarray) -> np.ndarray:
         return (c - self.word_discount * t + (self.strength + self.word_discount * self.root_tables) * uniform) / (self.strength + self.root_customers)
@@ -442,75 +536,72 @@ class Model:
         return (self.strength + self.cell_discount * self.tables) / (self.strength + self.customers)
 
 
-def _load(size: int, words: bytes, counts: bytes, cells: bytes, times: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    return _split(words, size), _unpack64(counts), np.cumsum(_unpack64(cells)), _unpack64(times)
-
+def _gathered(totals: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(none + [_unpack64(c) for c, _ in totals]), np.concatenate(none + [_unpack64(t) for _, t in totals])
 
-_SLICE = 1024
 
-
-def _totals(sent, n_contexts: int, sweeps: int, seed: int, turn: int):
-    """What each shard adds to the shared numbers, in slices: tables and customers of each context, then four of the whole."""
+def _turn(sent, burn: int, seed: int, turn: int):
+    """Rows sorted by shard, kind and owner: totals of its contexts (kind 0), then the shard itself (kind 1), which is seated anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, k = sent.value, max(1, n_contexts)
+        totals = []
         for batch in batches:
-            for shard, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, counts, cells, times = _load(*packed)
-                context = cells % k
-                if model is None:
-                    tables, top, top_tables = np.ones(len(cells)), counts.sum(), len(counts)
-                else:
-                    tables, c, t, _, _ = model.chain(counts, cells, times, 1, sweeps, np.random.default_rng([seed, turn, shard]))
-                    top, top_tables = c.sum(), t.sum()
-                n = np.concatenate((np.bincount(context, weights=tables, minlength=k), np.bincount(context, weights=times, minlength=k), [top, top_tables, (times == 1).sum(), (times == 2).sum()])).astype(np.int64)
-                at = list(range(0, len(n), _SLICE))
-                yield pa.RecordBatch.from_pydict({"slice": at, "n": [_pack64(n[i : i + _SLICE]) for i in at]}, schema=_SUMS)
+            for shard, kind, owner, customers, tables, *packed, n1, n2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 0:
+                    if owner >= 0:
+                        totals.append((customers, tables))
+                    continue
+                x = _Shard.load(*packed)
+                customers, tables = _gathered(totals)
+                totals = []
+                model = replace(sent.value, customers=customers, tables=tables)
+                x.seats, c, x.word_seats, _, _ = model.chain(x.counts, x.cells, x.times, 1, burn, np.random.default_rng([seed, turn, shard]), x.seats, x.word_seats)
+                row = dict(zip(_STATE.names[1:5], packed[:4], strict=True)) | {"shard": shard, "seats": _pack64(x.seats), "word_seats": _pack64(x.word_seats), "customers": int(c.sum()), "tables": int(x.word_seats.sum()), "n1": n1, "n2": n2}
+                yield pa.RecordBatch.from_pylist([row], schema=_STATE)
 
     return run
 
 
-_SUMS = pa.schema([("slice", pa.int64()), ("n", pa.binary())])
+_REPLY = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("counts", pa.binary()), ("logs", pa.binary()), ("backs", pa.binary()), ("cell_logs", pa.binary())])
+_REPLY_SQL = "block long, shard long, counts binary, logs binary, backs binary, cell_logs binary"
 
 
-def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            sums[at] = sums[at] + _unpack64(n) if at in sums else _unpack64(n)
-    yield pa.RecordBatch.from_pydict({"slice": list(sums), "n": [_pack64(x) for x in sums.values()]}, schema=_SUMS)
-
-
-_REPLY = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("counts", pa.binary()), ("logs", pa.binary()), ("cell_logs", pa.binary())])
+def _answer(sent, shards: int, sweeps: int, burn: int, seed: int):
+    """Rows sorted by shard, kind and owner: totals of contexts (kind 0), the shard itself (kind 1), then the blocks' requests (kind 2).
 
-
-def _answer(sent, sweeps: int, burn: int, seed: int):
-    """Rows sorted by shard and kind: the shard itself (kind 0), then the blocks' requests (kind 1)."""
+    Cells that were not learnt get no number: they are the parent's weight after
+    the context, which its owner tells, times the word's probability.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        k, back, unknown = max(1, len(model.customers)), model.back(), model.unknown()
-        now, place, counts, p_word, cells, p_cell = None, {}, None, None, None, None
+        shared, totals, own = sent.value, [], []
         for batch in batches:
-            for shard, kind, block, size, words, packed, spans, contexts, shard_cells, shard_times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, kind, owner, customers, tables, counts, contexts, cells, times, seats, word_seats, block, ids, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
-                    now = shard
-                    listed, counts, cells, times = _load(size, words, packed, shard_cells, shard_times)
-                    _, _, _, p_word, p_cell = model.chain(counts, cells, times, sweeps, burn, np.random.default_rng([seed, 1 << 20, shard]))
-                    place = {w: i for i, w in enumerate(listed)}
+                    (own if owner < 0 else totals).append((customers, tables))
+                    continue
+                if kind == 1:
+                    now, x = shard, _Shard.load(counts, contexts, cells, times, seats, word_seats)
+                    model = replace(shared, **dict(zip(("customers", "tables"), _gathered(totals), strict=True)))
+                    *_, p_word, p_cell = model.chain(x.counts, x.cells, x.times, sweeps, burn, np.random.default_rng([seed, 1 << 20, shard]), x.seats, x.word_seats)
+                    back, unknown = replace(shared, **dict(zip(("customers", "tables"), _gathered(own), strict=True))).back(), shared.unknown()
+                    k, totals, own = max(1, len(x.contexts)), [], []
                     continue
                 assert shard == now  # every asked shard has a row
-                at = np.fromiter((place.get(w, -1) for w in _split(words, size)), np.int64, size)
+                at = _own(_unpack(ids), shards)
                 seen = at >= 0
-                p, c = np.full(size, unknown), np.zeros(size, np.int64)
-                p[seen], c[seen] = p_word[at[seen]], counts[at[seen]]
-                spans, contexts = _unpack(spans), _unpack(contexts)
-                q = back[contexts] * np.repeat(p, spans)
-                if len(cells) and len(q):
-                    keys = np.repeat(at, spans) * k + contexts
-                    where = np.minimum(np.searchsorted(cells, keys), len(cells) - 1)
-                    q = np.where((cells[where] == keys) & np.repeat(seen, spans), p_cell[where], q)
-                yield pa.RecordBatch.from_pydict({"block": [block], "shard": [shard], "counts": [_pack64(c)], "logs": [_zip(np.log10(p).tobytes())], "cell_logs": [_zip(np.log10(q).astype(np.float32).tobytes())]}, schema=_REPLY)
+                p, c, b = np.full(len(at), unknown), np.zeros(len(at), np.int64), np.ones(len(at))
+                p[seen], c[seen], b[seen] = p_word[at[seen]], x.counts[at[seen]], back[at[seen]]
+                near = _owned(_unpack(contexts), shards)
+                q = np.full(len(near), np.nan)
+                if len(x.cells) and len(near):
+                    word = np.repeat(at, _unpack(spans))
+                    place = np.minimum(np.searchsorted(x.contexts, near), len(x.contexts) - 1)
+                    keys = word * k + place
+                    where = np.minimum(np.searchsorted(x.cells, keys), len(x.cells) - 1)
+                    q = np.where((x.contexts[place] == near) & (x.cells[where] == keys) & (word >= 0), p_cell[where], np.nan)
+                yield pa.RecordBatch.from_pydict({"block": [block], "shard": [shard], "counts": [_pack64(c)], "logs": [_zip(np.log10(p).tobytes())], "backs": [_zip(np.log10(b).astype(np.float32).tobytes())], "cell_logs": [_zip(np.log10(q).astype(np.float32).tobytes())]}, schema=_REPLY)
 
     return run
 
@@ -519,26 +610,26 @@ _SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 _SCORE_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(sent, n: int, v: int):
+def _score(n: int, v: int):
     """Rows sorted by block, kind and shard: the answers (kind 0), then the block itself (kind 1)."""
     room = n + (v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
         now, answers = None, []
         for batch in batches:
-            for block, kind, c, logs, cell_logs, words, doc_ids, lengths, places in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for block, kind, c, logs, backs, cell_logs, ids, doc_ids, lengths, places in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if block != now:
                     now, answers = block, []
                 if kind == 0:
-                    answers.append((_unpack64(c), np.frombuffer(_unzip(logs)), np.frombuffer(_unzip(cell_logs), np.float32)))
+                    answers.append((_unpack64(c), np.frombuffer(_unzip(logs)), np.frombuffer(_unzip(backs), np.float32), np.frombuffer(_unzip(cell_logs), np.float32)))
                     continue
-                count, log, cell_log = (np.concatenate(x) for x in zip(*answers, strict=True))
+                count, log, back, cell_log = (np.concatenate(x) for x in zip(*answers, strict=True))
                 lengths, tokens = _unpack(lengths), _unpack(places)
-                keys, _ = _cells(_split(words, len(count)), tokens, lengths, known)
+                keys = _cells(_unpack(ids), tokens, lengths)
                 per_token = log[tokens]
                 if (keys >= 0).any():
-                    _, at = np.unique(keys[keys >= 0], return_inverse=True)
+                    cells, at = np.unique(keys[keys >= 0], return_inverse=True)
+                    cell_log = np.where(np.isnan(cell_log), back[cells % len(count)] + log[cells // len(count)], cell_log)
                     per_token[keys >= 0] = cell_log[at]
                 starts = np.cumsum(lengths) - lengths
                 sums = [np.add.reduceat(x, starts) for x in (np.log10((count + 1) / room)[tokens], per_token, (count > 0)[tokens].astype(np.int64))]
@@ -548,7 +639,7 @@ def _score(sent, n: int, v: int):
     return run
 
 
-def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_share: float = 1e-4, rounds: int = 2, sweeps: int = 6, burn: int = 6, strength: float = 1.0, seed: int = 7, shards: int | None = None, block_bytes: int = 6 << 20) -> DataFrame:
+def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, sweeps: int = 6, burn: int = 6, strength: float = 1.0, seed: int = 7, shards: int | None = None, block_bytes: int = 6 << 20) -> DataFrame:
     """Scores of all texts: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32 of the id is not 2 modulo 7; scores are log10
@@ -564,35 +655,51 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shards = shards or parts
     doc_id = F.col(id_col).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(common.fold(doc_id, HELD) != 2, F.lit(False)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = common.written(rows.mapInArrow(_blocks(shards, block_bytes), _BLOCK_SQL), "blocks")
-    pieces = blocks.select("words", "sizes", "counts").mapInArrow(_word_parts, "shard long, size long, words binary, counts binary")
-    counted = common.written(pieces.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_count_words(context_share), "word binary, n long, v long, n1 long, n2 long"), "counted")
-    size = counted.where("word IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2"))).first()
-    often = counted.where(F.col("word").isNotNull() & (F.col("n") >= context_share * size["n"])).select("word").collect()  # at most 1 / context_share rows
-    known = {w: i for i, w in enumerate(sorted(bytes(r["word"]) for r in often))}
-    k = max(1, len(known))
-    listed = spark.sparkContext.broadcast(known)
-    asked = blocks.select("block", "words", "sizes", "counts", "train", "lengths", "places").mapInArrow(_requests(listed), _REQUEST_SQL)
-    table = common.written(asked.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_sum_shards(len(known)), _SHARD_SQL), "shards")
-    model = None
-    for turn in range(rounds + 1):
-        sent = spark.sparkContext.broadcast(model)
-        slices = table.mapInArrow(_totals(sent, len(known), burn, seed, turn), "slice long, n binary").mapInArrow(_add_slices, "slice long, n binary")
-        found = slices.repartition(parts, "slice").mapInArrow(_add_slices, "slice long, n binary").collect()  # 2 numbers a context, and 4
-        n = np.zeros(2 * k + 4)
-        for r in found:
-            part = _unpack64(bytes(r["n"]))
-            n[r["slice"] : r["slice"] + len(part)] = part
-        if model is None:
-            model = Model(size["n"], size["v"], strength, _discount(size["n1"], size["n2"]), _discount(int(n[-2]), int(n[-1])), 0.0, 0.0, n[k : 2 * k], n[:k])
-        model = replace(model, root_customers=float(n[-4]), root_tables=float(n[-3]), tables=n[:k])
-    sent = spark.sparkContext.broadcast(model)
-    none = F.lit(None).cast("binary")
-    both = table.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), "size", "words", "counts", none.alias("spans"), none.alias("contexts"), "cells", "times").unionByName(
-        asked.select("shard", F.lit(1).alias("kind"), "block", "size", "words", "counts", "spans", "contexts", none.alias("cells"), none.alias("times"))
-    )
-    answers = both.repartition(parts, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_answer(sent, sweeps, burn, seed), "block long, shard long, counts binary, logs binary, cell_logs binary")
-    replies = answers.select("block", F.lit(0).alias("kind"), "shard", "counts", "logs", "cell_logs", none.alias("words"), F.lit(None).cast("array<long>").alias("doc_ids"), none.alias("lengths"), none.alias("places"))
-    own = blocks.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("shard"), none.alias("counts"), none.alias("logs"), none.alias("cell_logs"), "words", "doc_ids", "lengths", "places")
+    none, zero = F.lit(None), F.lit(0).cast("long")
+
+    def stored(df: DataFrame, name: str, schema: str) -> tuple[DataFrame, str]:
+        df.write.parquet(path := common.table_path(spark, name))
+        return spark.read.schema(schema).parquet(path), path
+
+    blocks, blocks_path = stored(rows.mapInArrow(_blocks(shards, block_bytes), _BLOCK_SQL), "blocks", _BLOCK_SQL)
+    pieces = blocks.select("block", "words", "sizes", "counts").mapInArrow(_word_parts, _COUNTED_SQL)
+    numbered = common.written(pieces.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_number(shards), _NUMBERED_SQL), "numbered")
+    size = numbered.where("block IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2"))).first()
+    rest = ["sizes", "counts", "doc_ids", "train", "lengths", "places"]
+    bare = [none.cast(blocks.schema[c].dataType).alias(c) for c in rest]
+    both = numbered.where("block IS NOT NULL").select("block", F.lit(0).alias("kind"), "shard", "ids", *bare).unionByName(blocks.select("block", F.lit(1).alias("kind"), zero.alias("shard"), none.cast("binary").alias("ids"), *rest))
+    known = common.written(both.repartition(parts, "block").sortWithinPartitions("block", "kind", "shard").drop("shard").mapInArrow(_with_ids, _KNOWN_SQL), "known")
+    common.remove_path(spark, blocks_path)
+    asked = known.select("block", "ids", "sizes", "counts", "train", "lengths", "places").mapInArrow(_requests, _REQUEST_SQL)
+    state, path = stored(asked.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_sum_shards(shards), _STATE_SQL), "shards", _STATE_SQL)
+    seated = ["counts", "contexts", "cells", "times", "seats", "word_seats"]
+
+    def gathered() -> DataFrame:
+        """Each shard's contexts with the totals of their restaurants."""
+        return state.select("shard", *seated).mapInArrow(_context_parts, _PART_SQL).repartition(parts, "owner").sortWithinPartitions("owner").mapInArrow(_context_totals, _TOTAL_SQL)
+
+    def shared() -> Model:
+        sums = state.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("customers", "tables", "n1", "n2"))).first()
+        return Model(size["n"], size["v"], strength, _discount(size["n1"], size["n2"]), _discount(sums["n1"], sums["n2"]), float(sums["customers"]), float(sums["tables"]), np.zeros(0), np.zeros(0))
+
+    def rowed(df: DataFrame, kind: int, columns: list[str]) -> DataFrame:
+        """The named columns, null where df has none."""
+        types = {"owner": "long", "block": "long", "n1": "long", "n2": "long"}
+        return df.select("shard", F.lit(kind).alias("kind"), *(F.col(c) if c in df.columns else none.cast(types.get(c, "binary")).alias(c) for c in columns))
+
+    for turn in range(1, rounds + 1):
+        columns = ["owner", "customers", "tables", *seated, "n1", "n2"]
+        both = rowed(gathered(), 0, columns).unionByName(rowed(state.drop("customers", "tables"), 1, columns))
+        sent = spark.sparkContext.broadcast(shared())
+        old = path
+        state, path = stored(both.repartition(parts, "shard").sortWithinPartitions("shard", "kind", "owner").mapInArrow(_turn(sent, burn, seed, turn), _STATE_SQL), "shards", _STATE_SQL)
+        common.remove_path(spark, old)
+    columns = ["owner", "customers", "tables", *seated, "block", "ids", "spans"]
+    every = rowed(gathered(), 0, columns).unionByName(rowed(state.drop("customers", "tables"), 1, columns)).unionByName(rowed(asked.drop("counts", "times"), 2, columns))
+    sent = spark.sparkContext.broadcast(shared())
+    answers = every.repartition(parts, "shard").sortWithinPartitions("shard", "kind", "owner").mapInArrow(_answer(sent, shards, sweeps, burn, seed), _REPLY_SQL)
+    told, kept = ["counts", "logs", "backs", "cell_logs"], ["ids", "doc_ids", "lengths", "places"]
+    replies = answers.select("block", F.lit(0).alias("kind"), "shard", *told, *(none.cast(known.schema[c].dataType).alias(c) for c in kept))
+    own = known.select("block", F.lit(1).alias("kind"), zero.alias("shard"), *(none.cast("binary").alias(c) for c in told), *kept)
     joined = replies.unionByName(own).repartition(parts, "block").sortWithinPartitions("block", "kind", "shard").drop("shard")
-    return joined.mapInArrow(_score(listed, size["n"], size["v"]), _SCORE_SQL)
+    return joined.mapInArrow(_score(size["n"], size["v"]), _SCORE_SQL)

@@ -135,3 +135,17 @@ def test_large_dishes_reach_the_exact_distribution(c, weight):
         seats.sweep(p)
     assert abs(seats.t.mean() - mean) < 0.2 * deviation
     assert abs(seats.t.std() - deviation) < 0.2 * deviation
+
+
+def test_rare_words_are_contexts(spark):
+    """zz makes up less than 1/10,000 of the training tokens, and yy follows it every time."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(300)]
+    learnt = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 != 2][:2000]
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, " ".join(rng.choice(words, 60)) + (" zz yy" if n < 7 else "")) for n, i in enumerate(learnt)]
+    df = spark.createDataFrame([*rows, (held[0], "zz yy"), (held[1], "yy zz")], "doc_id long, text string")
+    got = {r.doc_id: r for r in hpyp.language_model_scores(df).collect()}
+    assert got[held[0]].train_tokens > 7 * 10_000
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 2
