@@ -1,4 +1,5 @@
 import math
+import unicodedata
 
 import duckdb
 import pytest
@@ -44,6 +45,13 @@ def test_query_without_sql(spark, name):
     assert catalogue.queries()[name](spark, SF).count() > 0
 
 
+def test_clean_unicode_takes_whole_texts(spark, duck):
+    want = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
+    assert max(len(t) for t in want.values()) > 200
+    got = {r.doc_id: r.text for r in catalogue.queries()["clean_unicode"](spark, SF).collect()}
+    assert got == {i: unicodedata.normalize("NFKC", t) for i, t in want.items()}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
