@@ -335,6 +335,12 @@ def pk_infer_orders(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k.name, k.unique)], "name string, is_unique boolean")
 
 
+@query()
+def pk_infer_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    k = profile.infer_key(_t(spark, sf, "lineitem"))
+    return spark.createDataFrame([(",".join(k.columns), k.unique, len(k.tested))], "columns string, is_unique boolean, tested int")
+
+
 @query("""SELECT 'conv_id,turn' AS columns, count(*) = 0 AS is_unique FROM (SELECT conv_id, turn FROM conversations GROUP BY ALL HAVING count(*) > 1)""")
 def pk_composite(spark: SparkSession, sf: str) -> DataFrame:
     found = profile.minimal_keys(_t(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn", "role"])

@@ -52,6 +52,15 @@ def test_clean_unicode_takes_whole_texts(spark, duck):
     assert got == {i: unicodedata.normalize("NFKC", t) for i, t in want.items()}
 
 
+def test_key_of_lineitem_is_composite(spark, duck):
+    (got,) = catalogue.queries()["pk_infer_lineitem"](spark, SF).collect()
+    key = got["columns"].split(",")
+    assert len(key) > 1 and got.tested == len(key) and got.is_unique
+    for n in range(1, len(key) + 1):
+        repeated = duck.execute(f"SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY {','.join(key[:n])} HAVING count(*) > 1)").fetchone()[0]
+        assert (repeated == 0) == (n == len(key))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
