@@ -46,6 +46,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name for F.col: names with dots or backticks are taken whole."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fold(column: str | Column, n: int) -> Column:
     """crc32 of an id as decimal text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary") if isinstance(column, str) else column.cast("string").cast("binary")) % F.lit(n)
