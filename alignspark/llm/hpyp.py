@@ -447,29 +447,38 @@ def _owned(contexts: np.ndarray, shards: int) -> np.ndarray:
 _ID = (1 << 50) - 1
 
 
-def _summed(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order, and the sums of n over each."""
-    order = np.lexsort((second, first))
-    first, second, n = first[order], second[order], n[order]
-    new = np.ones(len(first), bool)
-    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of n over each."""
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     starts = np.flatnonzero(new)
-    return first[starts], second[starts], np.add.reduceat(n, starts) if len(starts) else n
+    return key[starts], np.add.reduceat(n, starts) if len(starts) else n
+
+
+def _named(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of names in order, and the sums of n over each."""
+    firsts, a = np.unique(first, return_inverse=True)
+    seconds, b = np.unique(second, return_inverse=True)
+    k = max(1, len(seconds))
+    key, n = _summed(a * k + b, n)
+    return firsts[key // k], seconds[key % k], n
 
 
 # words are ids in order, contexts keys of _owned in order; a cell is the place of its word times the contexts plus the place of its context
 _STATE, _STATE_SQL = _schema("shard long, words binary, counts binary, contexts binary, cells binary, times binary, live_contexts binary, live_cells binary, live_times binary, singles binary, n1 long, n2 long")
 
 
-def _sum_shards(shards: int, most: int = 1 << 22):
+def _sum_shards(shards: int, most: int = 1 << 21):
     """Requests sorted by shard to one row for each shard; cells are added up whenever `most` have come in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, cells, held = None, [], [], 0
 
         def close() -> pa.RecordBatch:
-            ids, _, counts = _summed(*(np.concatenate(x) for x in zip(*words, strict=True)))
-            word, context, times = _summed(*(np.concatenate(x) for x in zip(*cells, strict=True)))
+            ids, counts = _summed(*(np.concatenate(x) for x in zip(*words, strict=True)))
+            word, context, times = _named(*(np.concatenate(x) for x in zip(*cells, strict=True)))
             word = np.searchsorted(ids, word)
 
             def listed(of: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -487,12 +496,12 @@ def _sum_shards(shards: int, most: int = 1 << 22):
                         yield close()
                     now, words, cells, held = shard, [], [], 0
                 ids, counts, spans, times = _unpack(ids) - 1, _unpack(counts), _unpack(spans), _unpack(times)
-                words.append((ids[counts > 0], np.zeros(int((counts > 0).sum()), np.int64), counts[counts > 0]))
+                words.append((ids[counts > 0], counts[counts > 0]))
                 learnt = times > 0
                 cells.append((np.repeat(ids, spans)[learnt], _owned(_unpack(contexts)[learnt], shards), times[learnt]))
                 held += len(cells[-1][0])
                 if held > most:
-                    words, cells = ([_summed(*(np.concatenate(x) for x in zip(*y, strict=True)))] for y in (words, cells))
+                    words, cells = ([f(*(np.concatenate(x) for x in zip(*y, strict=True)))] for f, y in ((_summed, words), (_named, cells)))
                     held = len(cells[0][0]) // 2
         if now is not None:
             yield close()
@@ -672,6 +681,19 @@ class _Loaded:
     def __init__(self, shard: int, words, counts, parent, word_tables, contexts, cells, times, seats) -> None:
         self.shard, self.words, self.counts, self.parent, self.word_tables = shard, words, counts, parent, word_tables
         self.contexts, self.cells, self.times, self.seats = contexts, cells, times, seats
+        top = int(contexts[-1]) + 1 if len(contexts) else 0
+        self.places = None
+        if top <= 64 * len(contexts) + (1 << 20):  # ids are dense: a table finds them faster than bisection
+            self.places = np.full(top, -1, np.int32)
+            self.places[contexts] = np.arange(len(contexts))
+
+    def placed(self, contexts: np.ndarray) -> np.ndarray:
+        """Places of the contexts here, -1 for others."""
+        if self.places is not None:
+            known = contexts < len(self.places)
+            return np.where(known, self.places[np.where(known, contexts, 0)], -1)
+        place = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+        return np.where(self.contexts[place] == contexts, place, -1)
 
     def reply(self, block: int, ids: np.ndarray, spans: np.ndarray, contexts: np.ndarray) -> pa.RecordBatch:
         seen = ids >= 0
@@ -680,10 +702,12 @@ class _Loaded:
         counts[seen], tables[seen], parents[seen] = self.counts[at[seen]], self.word_tables[at[seen]], self.parent[at[seen]]
         times = seats = np.zeros(len(contexts), np.int64)
         if len(self.cells) and len(contexts):
-            place = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
-            keys = np.repeat(at, spans) * len(self.contexts) + place
-            where = np.minimum(np.searchsorted(self.cells, keys), len(self.cells) - 1)
-            found = (self.contexts[place] == contexts) & (self.cells[where] == keys) & np.repeat(seen, spans)
+            place = self.placed(contexts)
+            keys = np.where((place >= 0) & np.repeat(seen, spans), np.repeat(at, spans) * len(self.contexts) + place, -1)
+            order = np.argsort(keys)  # bisection in order stays in cache
+            where = np.empty(len(keys), np.int64)
+            where[order] = np.minimum(np.searchsorted(self.cells, keys[order]), len(self.cells) - 1)
+            found = self.cells[where] == keys
             times, seats = np.where(found, self.times[where], 0), np.where(found, self.seats[where], 0)
         return _row(_REPLY, block=block, shard=self.shard, counts=_pack(counts), parents=_zip(parents.astype("<f4").tobytes()), tables=_pack(tables), times=_pack(times), seats=_pack(seats))
 
@@ -755,7 +779,7 @@ def _score(n: int, v: int, unknown: float, sweeps: int, discount: float, strengt
     return run
 
 
-def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 3, burn: int = 3, strength: float = 1.0, weight: float = 0.5, seed: int = 7, shards: int | None = None, shard_bytes: int = 16 << 20, block_bytes: int = 6 << 20) -> DataFrame:
+def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 3, burn: int = 2, strength: float = 1.0, weight: float = 0.5, seed: int = 7, shards: int | None = None, shard_bytes: int = 32 << 20, block_bytes: int = 6 << 20) -> DataFrame:
     """Scores of all texts: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32 of the id is not 2 modulo 7; scores are log10
