@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,28 +16,52 @@ FOLDS = 5
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_each: int, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
-    """At most ``max_each`` rows of each class (ids in order of their hash) with text, and the class counts.
+    """Distinct texts of at most ``max_each`` labelled ids of each class, and the class counts: (doc_id, label, n, text).
 
-    Rows whose crc32 of the id is 0 modulo ``folds`` are held out.  Labels
-    other than 0 and 1 and null ids are left out; an id labelled twice counts
-    with its larger label; an id with several documents gives one of them;
-    texts that are equal count once.
+    Ids are taken in order of their hash.  Rows whose crc32 of the id is 0
+    modulo ``folds`` are held out.  Labels other than 0 and 1 and null ids are
+    left out; an id labelled twice counts with its larger label; of an id's
+    documents the text with the smallest SHA-256 counts.  Equal texts of
+    several ids make one row: their smallest id, their mean label, their
+    number.  Nothing rests on the order of rows.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = labels.select(F.col(common.quoted(id_col)).cast("long").alias("doc_id"), F.col(common.quoted(label)).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (common.fold("doc_id", folds) != 0))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_each) for c in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * max_each rows of two numbers
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ids, "doc_id")
-    return rows.dropDuplicates(["doc_id"]).dropDuplicates(["text"]), counts
+    text = F.coalesce(F.col(common.quoted(text_col)), F.lit(""))
+    rows = docs.select(F.col(common.quoted(id_col)).cast("long").alias("doc_id"), text.alias("text")).join(ids, "doc_id")
+    each = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.sha2("text", 256).alias("sha"), "text")).alias("t"))
+    every = each.groupBy("t.text").agg(F.min("doc_id").alias("doc_id"), F.avg("label").alias("label"), F.count("*").alias("n"))
+    return every.select("doc_id", "label", "n", "text"), counts
+
+
+def counted_terms(sample: DataFrame, terms: Callable[[str], dict[str, int]]) -> list[tuple[int, float, int, list[str], np.ndarray]]:
+    """On the driver, in order of id: (id, label, number, terms, counts) of the sample's texts; terms hold no line break."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [terms(t) for t in batch.column(3).to_pylist()]
+            packed = [zstandard.ZstdCompressor(level=3).compress("\n".join(f).encode()) for f in found]
+            counts = [np.fromiter(f.values(), "<u4", len(f)).tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "label", "n", "terms", "counts"])
+
+    rows = sample.mapInArrow(run, "doc_id long, label double, n long, terms binary, counts binary").collect()
+    out = []
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        counts = np.frombuffer(r["counts"], "<u4")
+        listed = zstandard.ZstdDecompressor().decompress(r["terms"]).decode().split("\n") if len(counts) else []
+        out.append((r["doc_id"], r["label"], r["n"], listed, counts))
+    return out
 
 
-def class_weights(y: np.ndarray, counts: dict[int, int]) -> np.ndarray:
-    """Weights that give the sample the class shares of all labelled rows."""
+def class_weights(y: np.ndarray, n: np.ndarray, counts: dict[int, int]) -> np.ndarray:
+    """Weights that give the sample, in which text i stands n[i] times with mean label y[i], the class shares of all labelled rows."""
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    ones = y.mean() if len(y) else 0.5
-    return np.where(y == 1, share / max(ones, 1e-9), (1 - share) / max(1 - ones, 1e-9))
+    ones = float((y * n).sum() / max(1, n.sum())) if len(y) else 0.5
+    return n * (y * share / max(ones, 1e-9) + (1 - y) * (1 - share) / max(1 - ones, 1e-9))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:

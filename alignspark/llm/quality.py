@@ -1,12 +1,14 @@
 """Quality scores by nearest-neighbour voting over latent-semantic vectors.
 
-Terms describe how a text is written: the shape of each word (letter case,
-digits, punctuation kept) and words that repeat the one before.  TF-IDF vectors
-of a bounded sample of labelled rows give latent directions by a truncated
-decomposition; the sample's latent vectors are broadcast, and every document's
-exact cosines with all of them are computed in blocks.  The nearest, ties
-included, vote with weights that fall with distance, and class weights undo the
-sample's balance.
+Terms are a text's words, its pairs of words, and, as a second view, how it is
+written: the shapes of its words (letter case, digits, punctuation), words that
+repeat the one before, and the order of its length.  Each view of a text is a
+unit-length TF-IDF vector over the terms that ``least`` labelled examples
+share; the two together are projected on the latent directions of the examples
+(truncated decomposition).  The examples' latent vectors are broadcast, and
+every document's exact cosines with all of them are computed in blocks.  The
+nearest, ties included, vote with weights that fall with distance, and class
+weights undo the sample's balance.
 """
 
 from __future__ import annotations
@@ -22,38 +24,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .examples import FOLDS, class_weights, labelled_sample
+from .examples import FOLDS, class_weights, counted_terms, labelled_sample
 
 _LOWER = re.compile("[a-zß-öø-ÿ]+")
 _UPPER = re.compile("[A-ZÀ-ÖØ-Þ]+")
 _DIGIT = re.compile("[0-9]+")
-_SHAPE = 16
-
-
-def style_terms(text: str) -> dict[str, int]:
-    """Counts of word shapes, of repeats of the word before, and of the text's order of length."""
-    shapes = _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", text))).split()
-    found = Counter(shapes)
-    if any(len(s) > _SHAPE for s in found):
-        cut: Counter = Counter()
-        for s, c in found.items():
-            cut[s[:_SHAPE]] += c
-        found = cut
-    words = text.split()
-    repeats = sum(map(str.__eq__, words, words[1:]))
+_STYLE = "\t"  # marks terms of the second view; no word holds it
+
+
+def text_terms(text: str) -> dict[str, int]:
+    """Counts of words, word pairs and, marked, of word shapes, repeats and the order of length."""
+    plain = text.split()
+    words = text.lower().split()
+    found: dict[str, int] = Counter(words)
+    found.update(map(" ".join, zip(words, words[1:], strict=False)))
+    found.update(map(_STYLE.__add__, _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", text))).split()))
+    repeats = sum(map(str.__eq__, plain, plain[1:]))
     if repeats:
-        found["= of ten"] = round(10 * repeats / len(words)) or 1
-        found["="] = repeats
-    if words:
-        found[f"# {len(words).bit_length()}"] = 1
+        found[f"{_STYLE}= of ten"] = round(10 * repeats / len(plain)) or 1
+        found[f"{_STYLE}="] = repeats
+    if plain:
+        found[f"{_STYLE}# {len(plain).bit_length()}"] = 1
     return found
 
 
+def _times(row: np.ndarray, column: np.ndarray, value: np.ndarray, right: np.ndarray, rows: int, step: int = 1 << 17) -> np.ndarray:
+    """Product of a sparse matrix, given in order of its rows, with a dense one."""
+    out = np.zeros((rows, right.shape[1]), np.float32)
+    for a in range(0, len(row), step):
+        part = row[a : a + step]
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        out[part[starts]] += np.add.reduceat(value[a : a + step, None] * right[column[a : a + step]], starts, axis=0)
+    return out
+
+
 @dataclass
 class LatentVotes:
-    """A fitted classifier; its size is bounded by the sample and the vocabulary."""
+    """A fitted classifier; its size is bounded by the sample and its terms."""
 
     index: dict[str, int]
+    style: np.ndarray  # which terms belong to the second view
     idf: np.ndarray
     directions: np.ndarray
     vectors: np.ndarray
@@ -63,15 +73,21 @@ class LatentVotes:
     k: int
     sharp: float
 
+    def vector(self, terms: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms and their weights; each view is of unit length."""
+        at = np.fromiter((self.index.get(t, -1) for t in terms), np.int64, len(terms))
+        known = at >= 0
+        at = at[known]
+        v = (1 + np.log(counts[known].astype(np.float32))) * self.idf[at]
+        style = self.style[at]
+        lengths = np.sqrt([max((v[~style] ** 2).sum(), 1e-18), max((v[style] ** 2).sum(), 1e-18)])
+        return at, (v / lengths[style.astype(np.int64)]).astype(np.float32)
+
     def project(self, terms: list[dict[str, int]]) -> np.ndarray:
         out = np.zeros((len(terms), self.directions.shape[1]), np.float32)
         for r, counts in enumerate(terms):
-            known = [(self.index[t], c) for t, c in counts.items() if t in self.index]
-            if known:
-                at = np.array([i for i, _ in known])
-                v = (1 + np.log(np.array([c for _, c in known], np.float32))) * self.idf[at]
-                v /= np.sqrt((v * v).sum()) or 1.0
-                out[r] = v @ self.directions[at]
+            at, v = self.vector(list(counts), np.fromiter(counts.values(), np.int64, len(counts)))
+            out[r] = v @ self.directions[at]
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return out / np.maximum(norms, 1e-9)
 
@@ -89,62 +105,60 @@ class LatentVotes:
         return np.clip(out, 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_each: int = 2000, max_terms: int = 4096, rank: int = 32, k: int = 25, sharp: float = 20.0, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> LatentVotes:
-    """Fit on at most ``max_each`` labelled rows of each class; the driver holds their term counts."""
-    sample, counts = labelled_sample(docs, labels, label, max_each, folds, id_col, text_col)
-
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [style_terms(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))],
-                ["doc_id", "label", "terms", "counts"],
-            )
-
-    rows = sorted(sample.select("doc_id", "label", "text").mapInArrow(terms, "doc_id long, label int, terms array<string>, counts array<long>").collect(), key=lambda r: r["doc_id"])
-    y = np.array([r["label"] for r in rows], float)
+def build(rows: list[tuple[int, float, int, list[str], np.ndarray]], counts: dict[int, int], least: int, rank: int, k: int, sharp: float) -> LatentVotes:
+    """Fit on examples (id, label, number, terms, counts)."""
+    y, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.float64)
     prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    df = Counter(t for r in rows for t in r["terms"])
-    vocab = [t for t, c in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:max_terms] if c >= 2]
+    df = Counter(t for r in rows for t in r[3])
+    vocab = sorted(t for t, c in df.items() if c >= least)
     index = {t: i for i, t in enumerate(vocab)}
     idf = np.log((1 + len(rows)) / np.array([df[t] for t in vocab] or [1], np.float32)).astype(np.float32)
-    dense = np.zeros((len(rows), max(1, len(vocab))), np.float32)
-    for r, row in enumerate(rows):
-        for t, c in zip(row["terms"], row["counts"], strict=True):
-            if t in index:
-                dense[r, index[t]] = (1 + np.log(c)) * idf[index[t]]
-    dense /= np.maximum(np.sqrt((dense * dense).sum(axis=1, keepdims=True)), 1e-9)
-    rank = min(rank, *dense.shape) if len(rows) else 1
+    model = LatentVotes(index, np.array([t.startswith(_STYLE) for t in vocab], bool), idf, np.zeros((len(vocab), 1), np.float32), np.zeros((0, 1), np.float32), y, y, prior, k, sharp)
+    if not rows or not vocab:
+        return model
+    parts = [model.vector(r[3], r[4]) for r in rows]
+    row, column = np.repeat(np.arange(len(rows)), [len(a) for a, _ in parts]), np.concatenate([a for a, _ in parts])
+    value = np.concatenate([v for _, v in parts])
+    back = np.argsort(column, kind="stable")
+    turned = column[back], row[back], value[back]
     # randomised range finder with power steps; a fixed seed makes fits repeatable
-    basis = np.random.default_rng(0).standard_normal((dense.shape[1], min(dense.shape[1], rank + 16))).astype(np.float32)
-    for _ in range(6):
-        basis, _ = np.linalg.qr(dense.T @ (dense @ basis))
-    _, _, vt = np.linalg.svd(dense @ basis, full_matrices=False) if len(rows) else (0, 0, np.eye(1, basis.shape[1], dtype=np.float32))
+    basis = np.random.default_rng(0).standard_normal((len(vocab), min(len(vocab), len(rows), rank + 16))).astype(np.float32)
+    for _ in range(4):
+        basis, _ = np.linalg.qr(_times(*turned, _times(row, column, value, basis, len(rows)), len(vocab)))
+    _, _, vt = np.linalg.svd(_times(row, column, value, basis, len(rows)), full_matrices=False)
     directions = (basis @ vt[:rank].T).astype(np.float32)
-    vectors = dense @ directions
+    vectors = _times(row, column, value, directions, len(rows))
     vectors /= np.maximum(np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)), 1e-9)
-    weight = class_weights(y, counts)
-    return LatentVotes(index, idf, directions, vectors.astype(np.float32), weight * y, weight, prior, k, sharp)
+    weight = class_weights(y, n, counts)
+    return LatentVotes(index, model.style, idf, directions, vectors.astype(np.float32), weight * y, weight, prior, k, sharp)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_each: int = 2000, least: int = 3, rank: int = 48, k: int = 25, sharp: float = 20.0, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> LatentVotes:
+    """Fit on at most ``max_each`` labelled rows of each class; the driver holds their counted terms."""
+    common.small_batches(docs.sparkSession)
+    sample, counts = labelled_sample(docs, labels, label, max_each, folds, id_col, text_col)
+    return build(counted_terms(sample, text_terms), counts, least, rank, k, sharp)
 
 
 def score(docs: DataFrame, model: LatentVotes, threshold: float = 0.3, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
     Null and empty texts have no terms: all examples are equally far and the
-    score is near the labels' share.  Null ids have a null held_out.  Long
-    texts are read whole.  An empty table gives no rows; without labelled rows
-    every score is 0.5.
+    score is near the labels' share.  Null ids have a null held_out; repeated
+    rows score alike; long texts are read whole; an empty table gives no rows;
+    without labelled rows every score is 0.5.  Columns other than the two
+    named are not read, whatever their names.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)  # at most 2 * max_each vectors and max_terms terms
+    sent = spark.sparkContext.broadcast(model)  # at most 2 * max_each vectors, and directions of the terms that `least` of them share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes = sent.value
         for batch in batches:
-            scores = votes.score([style_terms(t) for t in batch.column(2).to_pylist()])
+            scores = votes.score([text_terms(t) for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    doc_id = F.col(id_col).cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), (common.fold(doc_id, folds) == 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    doc_id = F.col(common.quoted(id_col)).cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), (common.fold(doc_id, folds) == 0).alias("held_out"), F.coalesce(F.col(common.quoted(text_col)), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -1,13 +1,19 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine, found with a block-max inverted index.
 
-Terms are words.  From a bounded sample of labelled rows the terms that tell the
-classes apart are kept; TF-IDF vectors over them are unit length.  Examples are dealt into blocks of similar ones, and
-the index keeps, for each term, its largest weight in each block.  A query's
-bound for a block is its product with those maxima; blocks are opened in order
-of their bounds until the bound falls below the k-th best similarity, so the
-nearest neighbours are exact.  They vote weighted by similarity; a logistic fit
-on the leave-one-out votes of the examples calibrates the score.  The nearest
-examples are returned as evidence.
+Terms are the words of a text and, as stems, the first five characters of
+longer words.  Every term that two examples of the bounded sample share is
+indexed.  A term's weight is its inverse document frequency times the number of
+standard errors by which its shares among toxic and other examples differ, so
+that words which say nothing about the label count little and no word is left
+out; vectors of (1 + log count) * weight are unit length.
+
+Examples are dealt into blocks of similar ones.  For each term the index holds
+an entry for each block where it occurs: its largest weight there and its
+postings (example, weight).  A query's product with the largest weights bounds
+each block; the blocks of the largest bounds are opened, then all others whose
+bound reaches the k-th best similarity, so the nearest neighbours are exact.
+They vote weighted by similarity; a logistic fit on the leave-one-out votes of
+all examples calibrates the score.  The nearest examples are the evidence.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +29,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .examples import FOLDS, class_weights, fit_logistic, labelled_sample
+from .examples import FOLDS, class_weights, counted_terms, fit_logistic, labelled_sample
 
 _WORD = re.compile(r"[^\W\d_]+")
+STEM = 5
 
 
-def word_terms(text: str, keep: frozenset[str] | None = None) -> Counter:
-    """Counts of words, or of those in `keep` only."""
-    words = _WORD.findall(text.lower())
-    return Counter(words if keep is None else filter(keep.__contains__, words))
+def word_terms(text: str) -> dict[str, int]:
+    """Counts of words, and of the first characters of longer words (marked with a star)."""
+    found = Counter(_WORD.findall(text.lower()))
+    stems: dict[str, int] = {}
+    for word, n in found.items():
+        if len(word) > STEM:
+            stem = word[:STEM] + "*"
+            stems[stem] = stems.get(stem, 0) + n
+    found.update(stems)
+    return found
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Examples as a term-by-example table in blocks, with each block's largest weights."""
+    """Examples in block order, and for each term its entries (block, largest weight, postings)."""
 
     index: dict[str, int]
-    idf: np.ndarray
-    table: np.ndarray  # terms x examples, examples in block order
-    maxima: np.ndarray  # terms x blocks
+    weights: np.ndarray  # of the terms
+    term_at: np.ndarray  # first entry of each term, and the number of entries
+    entry_block: np.ndarray
+    entry_most: np.ndarray
+    entry_at: np.ndarray  # first posting of each entry, and the number of postings
+    example: np.ndarray
+    value: np.ndarray
     ids: np.ndarray
     label: np.ndarray
     weight: np.ndarray
@@ -51,156 +74,169 @@ class BlockMaxIndex:
     slope: float = 0.0
     shift: float = 0.0
 
-    @property
-    def terms(self) -> frozenset[str]:
-        return frozenset(self.index)
-
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([self.index[t] for t in counts], np.int64)
-        v = (1 + np.log(np.array(list(counts.values()), np.float32))) * self.idf[at]
-        return at, (v / np.sqrt((v * v).sum())).astype(np.float32)
-
-    def nearest(self, counts: dict[str, int], without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and similarities of the k nearest examples with a common term, best first."""
-        if not counts:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        """Known terms and their unit-length weights."""
+        known = [(i, n) for t, n in counts.items() if (i := self.index.get(t)) is not None]
+        at = np.array([i for i, _ in known], np.int64)
+        v = (1 + np.log(np.array([n for _, n in known], np.float64))) * self.weights[at]
+        length = np.sqrt((v * v).sum())
+        return (at, v / length) if length > 0 else (at[:0], v[:0])
+
+    def nearest(self, counts: dict[str, int], without: int | None = None, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """Places and similarities of the k nearest examples with a common term, best first; ties by place."""
         at, v = self.vector(counts)
-        bounds = v @ self.maxima[at]
-        places, sims, least = [], [], 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < least - 1e-6:
-                break
-            lo = b * self.block
-            s = v @ self.table[at, lo : lo + self.block]
-            p = np.flatnonzero(s > 0) + lo
+        sizes = self.term_at[at + 1] - self.term_at[at]
+        entries, of = _ranges(self.term_at[at], sizes), np.repeat(v, sizes)
+        blocks = self.entry_block[entries]
+        bounds = np.bincount(blocks, weights=of * self.entry_most[entries], minlength=-(-len(self.ids) // self.block))
+        sims = np.zeros(len(self.ids))
+
+        def opened(wanted: np.ndarray) -> None:
+            some = wanted[blocks]
+            e = entries[some]
+            sizes = self.entry_at[e + 1] - self.entry_at[e]
+            p = _ranges(self.entry_at[e], sizes)
+            np.add(sims, np.bincount(self.example[p], weights=np.repeat(of[some], sizes) * self.value[p], minlength=len(sims)), out=sims)
+
+        order = np.argsort(-bounds, kind="stable")[:first]
+        now = np.zeros(len(bounds), bool)
+        now[order] = True
+        opened(now)
+        if without is not None:
+            sims[without] = 0.0
+        least = np.partition(sims, len(sims) - self.k)[len(sims) - self.k] if len(sims) > self.k else 0.0
+        rest = ~now & (bounds > 0) & (bounds >= least - 1e-9)
+        if rest.any():
+            opened(rest)
             if without is not None:
-                p = p[p != without]
-            places.append(p)
-            sims.append(s[p - lo])
-            if sum(map(len, sims)) >= self.k:
-                every, where = np.concatenate(sims), np.concatenate(places)
-                best = np.lexsort((where, -every))[: self.k]
-                places, sims, least = [where[best]], [every[best]], float(every[best[-1]])
-        if not places:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        every, where = np.concatenate(sims), np.concatenate(places)
-        best = np.lexsort((where, -every))[: self.k]
-        return where[best], every[best]
+                sims[without] = 0.0
+        found = np.flatnonzero(sims > 0)
+        best = found[np.lexsort((found, -sims[found]))[: self.k]]
+        return best, sims[best]
 
     def vote(self, places: np.ndarray, sims: np.ndarray) -> float:
-        w = sims.astype(float) ** 2 * self.weight[places]
+        w = sims**2 * self.weight[places]
         return float(((w * self.label[places]).sum() + self.prior) / (w.sum() + 1))
 
     def score(self, counts: dict[str, int]) -> tuple[float, np.ndarray, np.ndarray]:
+        """Calibrated score; without neighbours the vote is the share of toxic labels."""
         places, sims = self.nearest(counts)
-        if not len(places):
-            return min(self.prior, 0.49), places, sims
         z = self.slope * self.vote(places, sims) + self.shift
         return 1 / (1 + float(np.exp(-np.clip(z, -30, 30)))), places, sims
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int = 2000, max_terms: int = 2000, least: float = 6.0, k: int = 15, block: int = 32, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> BlockMaxIndex:
-    """Fit on at most ``max_each`` labelled rows of each class and ``max_terms`` terms.
-
-    A term is kept if its share among toxic examples exceeds or falls short of
-    its share among the others by ``least`` standard errors.  Term counts are
-    gathered by Spark; the driver gets the kept terms and the examples' counts
-    of them only.
+def build(rows: list[tuple[int, float, int, list[str], np.ndarray]], counts: dict[int, int], least: int, k: int, block: int) -> BlockMaxIndex:
+    """The index of examples (id, label, number, terms, counts); terms in fewer than ``least`` examples are left out."""
+    y, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.float64)
+    seen = Counter(t for r in rows for t in r[3])
+    index = {t: i for i, t in enumerate(sorted(t for t, c in seen.items() if c >= least))}
+    lengths = np.array([len(r[3]) for r in rows], np.int64)
+    term = np.fromiter((index.get(t, -1) for r in rows for t in r[3]), np.int64, int(lengths.sum()))
+    doc = np.repeat(np.arange(len(rows)), lengths)
+    tf = 1 + np.log(np.concatenate([r[4] for r in rows] or [np.ones(0)]).astype(np.float64))
+    term, doc, tf = (x[term >= 0] for x in (term, doc, tf))
+    df = np.bincount(term, minlength=len(index))
+    ones, zeros = max(float(y.sum()), 1e-9), max(float((1 - y).sum()), 1e-9)
+    toxic = np.bincount(term, weights=y[doc], minlength=len(index))
+    share = df / max(1, len(rows))
+    errors = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / zeros))
+    weights = np.log((1 + len(rows)) / np.maximum(df, 1)) * np.abs(toxic / ones - (df - toxic) / zeros) / errors
+    value = tf * weights[term]
+    lengths = np.sqrt(np.bincount(doc, weights=value * value, minlength=len(rows)))
+    value /= np.maximum(lengths[doc], 1e-12)
+    # examples in order of the term that weighs most in them, so that blocks hold similar ones
+    main = np.full(len(rows), len(index))
+    by_value = np.lexsort((term, value))
+    main[doc[by_value]] = term[by_value]
+    order = np.argsort(main, kind="stable")
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows))
+    sort = np.lexsort((place[doc], term))
+    term, example, value = term[sort], place[doc][sort], value[sort]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (example[1:] // block != example[:-1] // block)
+    starts = np.flatnonzero(new)
+    return BlockMaxIndex(
+        index, weights, np.searchsorted(term[starts], np.arange(len(index) + 1)), (example[starts] // block).astype(np.int32), np.maximum.reduceat(value, starts) if len(starts) else value, np.append(starts, len(term)),
+        example.astype(np.int32), value, np.array([rows[i][0] for i in order], np.int64), y[order], class_weights(y, n, counts)[order], block, k, counts.get(1, 0) / max(1, sum(counts.values())),
+    )
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int = 2000, least: int = 2, k: int = 15, block: int = 32, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> BlockMaxIndex:
+    """Fit on at most ``max_each`` labelled rows of each class; the driver holds their counted terms.
+
+    The votes that calibrate the score are taken by Spark, one for each example
+    without itself.
     """
-    spark = docs.sparkSession
+    common.small_batches(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, label, max_each, folds, id_col, text_col)
+    sample = common.written(sample, "sample")
+    model = build(counted_terms(sample, word_terms), counts, least, k, block)
+    sent = docs.sparkSession.sparkContext.broadcast((model, {i: p for p, i in enumerate(model.ids.tolist())}))  # at most 2 * max_each examples
 
-    def every_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, place = sent.value
         for batch in batches:
-            for doc_id, y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = word_terms(text)
-                yield pa.RecordBatch.from_pydict({"doc_id": [doc_id] * (len(found) + 1), "label": [y] * (len(found) + 1), "term": [*found, ""], "n": [*found.values(), 1]}, schema=_TERMS)
-
-    terms = common.written(sample.select("doc_id", "label", "text").mapInArrow(every_term, "doc_id long, label int, term string, n long"), "terms")
-    sizes = {r["label"]: r["count"] for r in terms.where("term = ''").groupBy("label").count().collect()}
-    n1, n0 = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
-    share = (F.col("a") + F.col("b")) / (n1 + n0)
-    z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    df = terms.where("term <> ''").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    kept = df.where((F.col("a") + F.col("b") >= 3) & (share < 1)).withColumn("z", F.abs(z)).where(F.col("z") >= least).orderBy(F.desc("z"), "term").limit(max_terms)
-    vocab = [(r["term"], r["a"] + r["b"]) for r in kept.collect()]
-    listed = F.broadcast(spark.createDataFrame([(t,) for t, _ in vocab], "term string"))  # at most max_terms rows
-    rows = terms.join(listed, "term", "left_semi").unionByName(terms.where("term = ''")).groupBy("doc_id", "label").agg(F.collect_list(F.struct("term", "n")).alias("t")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    index = {t: i for i, (t, _) in enumerate(vocab)}
-    idf = np.log((1 + n1 + n0) / np.array([c for _, c in vocab] or [1], np.float32)).astype(np.float32)
-    table = np.zeros((max(1, len(vocab)), len(rows)), np.float32)
-    for j, r in enumerate(rows):
-        for x in r["t"]:
-            if x["term"]:
-                table[index[x["term"]], j] = (1 + np.log(x["n"])) * idf[index[x["term"]]]
-    table /= np.maximum(np.sqrt((table * table).sum(axis=0, keepdims=True)), 1e-9)
-    order = np.lexsort((-table.max(axis=0), np.argmax(table, axis=0), table.max(axis=0) == 0)) if len(rows) else np.zeros(0, int)
-    blocks = max(1, -(-len(rows) // block))
-    padded = np.zeros((len(table), blocks * block), np.float32)
-    padded[:, : len(rows)] = table[:, order]
-    y = np.array([rows[j]["label"] for j in order], float)
-    prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    model = BlockMaxIndex(index, idf, padded, padded.reshape(len(table), blocks, block).max(axis=2), np.array([rows[j]["doc_id"] for j in order], np.int64), y, class_weights(y, counts), block, k, prior)
-    _calibrate(model, [{x["term"]: x["n"] for x in rows[j]["t"] if x["term"]} for j in order])
-    return model
-
-
-_TERMS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("term", pa.string()), ("n", pa.int64())])
-
-
-def _calibrate(model: BlockMaxIndex, counts: list[dict[str, int]]) -> None:
-    found = [model.nearest(c, without=j) for j, c in enumerate(counts)]
-    use = [j for j, (p, _) in enumerate(found) if len(p)]
-    if len(set(model.label[use])) < 2:  # only one class has neighbours: votes tell it apart already
-        model.slope, model.shift = 8.0, -4.0
-        return
-    x = np.array([model.vote(*found[j]) for j in use])
-    model.slope, model.shift = fit_logistic(x, model.label[use], model.weight[use])
+            ids = batch.column(0).to_pylist()
+            found = [index.nearest(word_terms(t), place[i]) for i, t in zip(ids, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.vote(*f) for f in found], pa.float64())], ["doc_id", "vote"])
+
+    at = sent.value[1]
+    told = [(at[r["doc_id"]], r["vote"]) for r in sample.select("doc_id", "text").repartition(16).mapInArrow(votes, "doc_id long, vote double").collect()]
+    if not told:
+        return model
+    x = np.empty(len(told))
+    x[[p for p, _ in told]] = [v for _, v in told]
+    slope, shift = fit_logistic(x, model.label, model.weight)
+    return replace(model, slope=slope, shift=shift)
 
 
 def score(docs: DataFrame, model: BlockMaxIndex, threshold: float = 0.5, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, and as evidence the nearest examples with their similarities.
 
-    Texts that are null, empty or without a kept term have no neighbours; their
-    score is the share of toxic labels, below one half.  Null ids have a null
-    held_out; repeated rows score alike; long texts are read whole; an empty
-    table gives no rows.
+    Texts that are null, empty or without an indexed term have no neighbours;
+    their vote is the share of toxic labels.  Null ids have a null held_out;
+    repeated rows score alike; long texts are read whole; an empty table gives
+    no rows; without labelled rows every score is one half.  Columns other
+    than the two named are not read.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)  # at most 2 * max_each examples x max_terms terms
+    sent = spark.sparkContext.broadcast(model)  # at most 2 * max_each examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
-        keep = index.terms
         for batch in batches:
             scores, near, sims = [], [], []
             for text in batch.column(2).to_pylist():
-                s, p, c = index.score(word_terms(text, keep))
+                s, p, c = index.score(word_terms(text))
                 scores.append(s)
                 near.append(index.ids[p[:3]].tolist())
-                sims.append(c[:3].astype(float).tolist())
+                sims.append(c[:3].tolist())
             every = np.array(scores)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(every), pa.array((every >= threshold).astype(np.int32)), pa.array(near, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))],
                 ["doc_id", "held_out", "score", "predicted", "evidence_ids", "evidence_similarities"],
             )
 
-    doc_id = F.col(id_col).cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), (common.fold(doc_id, folds) == 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    doc_id = F.col(common.quoted(id_col)).cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), (common.fold(doc_id, folds) == 0).alias("held_out"), F.coalesce(F.col(common.quoted(text_col)), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence_ids array<long>, evidence_similarities array<double>")
 
 
 def clean_rows(docs: DataFrame, model: BlockMaxIndex, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose score is below the threshold; nothing is joined or moved."""
+    """The rows, with all their columns, whose score is below the threshold; nothing is joined or moved.
+
+    A row is judged by its text alone: null texts count as empty, repeated
+    rows and null ids go or stay by their text, an empty table stays empty,
+    and other columns pass through whatever their names.
+    """
     common.small_batches(docs.sparkSession)
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
-        keep = index.terms
         for batch in batches:
-            yield batch.filter(pa.array([index.score(word_terms(t or "", keep))[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([index.score(word_terms(t or ""))[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -16,7 +18,7 @@ def auc(rows, label):
     return (ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
 
 
-@pytest.mark.parametrize("name,label,least", [("op4_quality", "quality", 0.95), ("op5_toxicity", "toxic", 0.93)])
+@pytest.mark.parametrize("name,label,least", [("op4_quality", "quality", 0.95), ("op5_toxicity", "toxic", 0.97)])
 def test_held_out_accuracy(spark, name, label, least):
     found = queries.queries()[name](spark, LARGER)
     held = found.where("held_out").join(queries.table(spark, LARGER, "labels"), "doc_id").collect()
@@ -28,24 +30,124 @@ def test_held_out_accuracy(spark, name, label, least):
     assert sum(r.predicted == r[label] for r in held) / len(held) > 0.9
 
 
-def test_block_max_search_is_exact(spark):
-    model = toxicity.fit(queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels"), max_each=60, least=1.5, block=4, k=5)
-    rnd = np.random.default_rng(0)
-    terms = sorted(model.terms)
-    assert len(terms) > 20
-    for _ in range(200):
-        counts = {t: int(rnd.integers(1, 5)) for t in rnd.choice(terms, rnd.integers(1, 12), replace=False)}
-        at, v = model.vector(counts)
-        every = v @ model.table[at]
-        want = np.sort(every[every > 0])[::-1][:5]
-        _, sims = model.nearest(counts)
-        assert np.allclose(sims, want, atol=1e-6)
+def plain_cosines(rows, least, terms):
+    """Unit-length vectors of the examples (dicts over terms), and the weights of the terms, without any index."""
+    counted = [terms(t) for _, _, _, t in rows]
+    df = Counter(t for c in counted for t in c)
+    ones = sum(y for _, y, _, _ in rows)
+    zeros = len(rows) - ones
+    weight = {}
+    for t, n in df.items():
+        if n >= least:
+            a = sum(y for c, (_, y, _, _) in zip(counted, rows, strict=True) if t in c)
+            share = n / len(rows)
+            error = math.sqrt(max(share * (1 - share), 1e-12) * (1 / ones + 1 / zeros))
+            weight[t] = math.log((1 + len(rows)) / n) * abs(a / ones - (n - a) / zeros) / error
+
+    def unit(c):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in c.items() if t in weight}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()} if length else {}
+
+    return [unit(c) for c in counted], unit
+
+
+def test_toxicity_by_brute_force(spark):
+    """The query's operator on a small fixture: every cosine, vote and calibrated score without the index."""
+    docs, labels = queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels")
+    k = 5
+    model = toxicity.fit(docs, labels, max_each=60, k=k, block=4)
+    sample, counts = examples.labelled_sample(docs, labels, "toxic", 60)
+    rows = sorted((r.doc_id, r.label, r.n, r.text) for r in sample.collect())
+    vectors, unit = plain_cosines(rows, 2, toxicity.word_terms)
+    place = {i: p for p, i in enumerate(model.ids.tolist())}
+    share = counts[1] / sum(counts.values())
+    ones = sum(r[1] * r[2] for r in rows) / sum(r[2] for r in rows)
+    weights = [n * (y * share / ones + (1 - y) * (1 - share) / (1 - ones)) for _, y, n, _ in rows]
+
+    def vote(c, without=None):
+        q = unit(c)
+        near = [(-sum(x * v.get(t, 0) for t, x in q.items()), place[rows[j][0]], j) for j, v in enumerate(vectors) if j != without]
+        near = sorted(x for x in near if x[0] < 0)[:k]
+        w = [s * s * weights[j] for s, _, j in near]
+        return (sum(a * rows[j][1] for a, (_, _, j) in zip(w, near, strict=True)) + share) / (sum(w) + 1), [-s for s, _, _ in near]
+
+    held_in = np.array([vote(toxicity.word_terms(r[3]), j)[0] for j, r in enumerate(rows)])
+    slope, shift = examples.fit_logistic(held_in, np.array([r[1] for r in rows]), np.array(weights))
+    assert slope == pytest.approx(model.slope, rel=1e-4) and shift == pytest.approx(model.shift, rel=1e-4)
+    some = docs.where("doc_id % 9 = 0")
+    got = {r.doc_id: r for r in toxicity.score(some, model).collect()}
+    for r in some.collect():
+        v, sims = vote(toxicity.word_terms(r.text))
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-(slope * v + shift))), abs=1e-4)
+        assert got[r.doc_id].evidence_similarities == pytest.approx(sims[:3], abs=1e-6)
+
+
+def test_toxicity_reaches_every_document(spark):
+    """Held-out recall on the larger table, and documents without any neighbour."""
+    docs, labels = queries.table(spark, LARGER, "documents"), queries.table(spark, LARGER, "labels")
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).cache()
+    assert found.where("size(evidence_ids) = 0").count() < 0.01 * found.count()
+    held = found.where("held_out").join(labels, "doc_id").where("toxic = 1")
+    assert held.where("predicted = 1").count() >= 0.9 * held.count()
+
+
+def test_sample_does_not_depend_on_the_order_of_rows(spark):
+    """Equal texts with both labels, and an id with two texts."""
+    rows = [(i, "same text") for i in range(200)] + [(500, "b"), (500, "a"), (500, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(500, 1)], "doc_id long, toxic int")
+    want = None
+    for parts in (1, 7):
+        sample, _ = examples.labelled_sample(docs.repartition(parts), labels, "toxic", 300)
+        got = sorted(sample.collect())
+        assert want in (None, got)
+        want = got
+    same = next(r for r in want if r.text == "same text")
+    kept = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    assert (same.doc_id, same.n) == (kept[0], len(kept)) and same.label == pytest.approx(sum(i % 2 for i in kept) / len(kept))
+
+
+def test_quality_by_brute_force(spark):
+    """The query's operator on a small fixture, with dense matrices throughout."""
+    docs, labels = queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels")
+    model = quality.fit(docs, labels, max_each=40, rank=10, k=7)
+    sample, counts = examples.labelled_sample(docs, labels, "quality", 40)
+    rows = sorted((r.doc_id, r.label, r.n, r.text) for r in sample.collect())
+    counted = [quality.text_terms(r[3]) for r in rows]
+    df = Counter(t for c in counted for t in c)
+    vocab = sorted(t for t, n in df.items() if n >= 3)
+    assert vocab == sorted(model.index) and any(" " in t for t in vocab) and any(t.startswith("\t") for t in vocab)
+
+    def dense(c):
+        out = np.zeros(len(vocab))
+        for view in (False, True):
+            at = [i for i, t in enumerate(vocab) if t in c and t.startswith("\t") == view]
+            v = np.array([(1 + math.log(c[vocab[i]])) * math.log((1 + len(rows)) / df[vocab[i]]) for i in at])
+            out[at] = v / max(np.linalg.norm(v), 1e-9)
+        return out
+
+    x = np.stack([dense(c) for c in counted])
+    _, _, vt = np.linalg.svd(x, full_matrices=False)
+    latent = x @ vt[:10].T
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    y, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+    w = examples.class_weights(y, n, counts)
+    some = docs.where("doc_id % 9 = 0")
+    got = {r.doc_id: r.score for r in quality.score(some, model).collect()}
+    off = 0
+    for r in some.collect():
+        q = dense(quality.text_terms(r.text)) @ vt[:10].T
+        c = latent @ (q / max(np.linalg.norm(q), 1e-9))
+        near = np.exp(20 * (c - 1)) * (c >= np.sort(c)[-7] - 1e-6)
+        off += abs(got[r.doc_id] - near @ (w * y) / (near @ w)) > 0.02
+    assert off <= 0.03 * len(got)  # the decomposition is randomised: at the border of the nearest, ranks may differ
 
 
 def test_votes_are_cosines_over_all_examples(spark):
     model = quality.fit(queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels"), max_each=50, k=7)
     texts = [r.text for r in queries.table(spark, SF, "documents").limit(30).collect()]
-    terms = [quality.style_terms(t) for t in texts]
+    terms = [quality.text_terms(t) for t in texts]
     cosine = model.project(terms) @ model.vectors.T
     want = []
     for c in cosine:
@@ -71,7 +173,7 @@ def test_odd_rows(spark, odd, none, module):
 def test_sample_is_bounded(spark):
     sample, counts = examples.labelled_sample(queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels"), "quality", 10)
     got = sample.groupBy("label").count().collect()
-    assert all(r["count"] <= 10 for r in got) and sum(counts.values()) > 200
+    assert sum(r["count"] for r in got) <= 20 and sum(counts.values()) > 200
 
 
 def test_clean_rows(spark, odd):
