@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_each: in
     return every.select("doc_id", "label", "n", "text"), counts
 
 
-def counted_terms(sample: DataFrame, terms: Callable[[str], dict[str, int]]) -> list[tuple[int, float, int, list[str], np.ndarray]]:
-    """On the driver, in order of id: (id, label, number, terms, counts) of the sample's texts; terms hold no line break."""
+@dataclass
+class Counted:
+    """Examples in order of id: ids, mean labels, numbers of equal texts, and a count for each (example, term) in order of example."""
+
+    ids: np.ndarray
+    label: np.ndarray
+    n: np.ndarray
+    vocab: list[str]
+    df: np.ndarray
+    row: np.ndarray
+    term: np.ndarray
+    count: np.ndarray
+
+
+def counted_terms(sample: DataFrame, terms: Callable[[str], dict[str, int]], least: int) -> Counted:
+    """The sample's texts with their counts of the terms that at least ``least`` of them hold; terms hold no line break.
+
+    The driver gets each text's terms compressed, and opens one text at a time:
+    once to count by hash which terms may occur often enough, once to number
+    those.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,13 +69,30 @@ def counted_terms(sample: DataFrame, terms: Callable[[str], dict[str, int]]) ->
             counts = [np.fromiter(f.values(), "<u4", len(f)).tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "label", "n", "terms", "counts"])
 
-    rows = sample.mapInArrow(run, "doc_id long, label double, n long, terms binary, counts binary").collect()
-    out = []
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        counts = np.frombuffer(r["counts"], "<u4")
-        listed = zstandard.ZstdDecompressor().decompress(r["terms"]).decode().split("\n") if len(counts) else []
-        out.append((r["doc_id"], r["label"], r["n"], listed, counts))
-    return out
+    rows = sample.mapInArrow(run, "doc_id long, label double, n long, terms binary, counts binary").toArrow().sort_by("doc_id")
+    ids, label, n = (rows.column(c).to_numpy() for c in ("doc_id", "label", "n"))
+    packed, counts = rows.column("terms"), [np.frombuffer(c.as_py(), "<u4").astype(np.int64) for c in rows.column("counts")]
+
+    def listed(i: int) -> list[str]:
+        return zstandard.ZstdDecompressor().decompress(packed[i].as_py()).decode().split("\n") if len(counts[i]) else []
+
+    hashes = [np.fromiter(map(hash, listed(i)), np.int64, len(counts[i])) for i in range(len(ids))]
+    every, times = np.unique(np.concatenate(hashes or [np.zeros(0, np.int64)]), return_counts=True)
+    often = every[times >= least]
+    index: dict[str, int] = {}
+    at, kept = [], []
+    for i, h in enumerate(hashes):
+        some = np.isin(h, often)
+        at.append(np.fromiter((index.setdefault(t, len(index)) for t in compress(listed(i), some)), np.int64, int(some.sum())))
+        kept.append(counts[i][some])
+    row, term, count = np.repeat(np.arange(len(at)), [len(x) for x in at]), np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.int64), *kept])
+    df = np.bincount(term, minlength=len(index))
+    # in order of the terms, without those that only share a hash with another
+    order = np.array(sorted((i for i, t in enumerate(index) if df[i] >= least), key=list(index).__getitem__), np.int64)
+    rank = np.full(len(index), -1)
+    rank[order] = np.arange(len(order))
+    words, some = list(index), rank[term] >= 0 if len(term) else np.zeros(0, bool)
+    return Counted(ids, label, n.astype(np.float64), [words[i] for i in order], df[order], row[some], rank[term[some]] if len(term) else term, count[some])
 
 
 def class_weights(y: np.ndarray, n: np.ndarray, counts: dict[int, int]) -> np.ndarray:

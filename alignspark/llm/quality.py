@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .examples import FOLDS, class_weights, counted_terms, labelled_sample
+from .examples import FOLDS, Counted, class_weights, counted_terms, labelled_sample
 
 _LOWER = re.compile("[a-zß-öø-ÿ]+")
 _UPPER = re.compile("[A-ZÀ-ÖØ-Þ]+")
@@ -73,9 +74,8 @@ class LatentVotes:
     k: int
     sharp: float
 
-    def vector(self, terms: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms and their weights; each view is of unit length."""
-        at = np.fromiter((self.index.get(t, -1) for t in terms), np.int64, len(terms))
+    def vector(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms (those at -1 are not known) and their weights; each view is of unit length."""
         known = at >= 0
         at = at[known]
         v = (1 + np.log(counts[known].astype(np.float32))) * self.idf[at]
@@ -86,7 +86,7 @@ class LatentVotes:
     def project(self, terms: list[dict[str, int]]) -> np.ndarray:
         out = np.zeros((len(terms), self.directions.shape[1]), np.float32)
         for r, counts in enumerate(terms):
-            at, v = self.vector(list(counts), np.fromiter(counts.values(), np.int64, len(counts)))
+            at, v = self.vector(np.fromiter(map(self.index.get, counts, repeat(-1)), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
             out[r] = v @ self.directions[at]
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return out / np.maximum(norms, 1e-9)
@@ -105,39 +105,37 @@ class LatentVotes:
         return np.clip(out, 0.0, 1.0)
 
 
-def build(rows: list[tuple[int, float, int, list[str], np.ndarray]], counts: dict[int, int], least: int, rank: int, k: int, sharp: float) -> LatentVotes:
-    """Fit on examples (id, label, number, terms, counts)."""
-    y, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.float64)
+def build(found: Counted, counts: dict[int, int], rank: int, k: int, sharp: float) -> LatentVotes:
+    """Fit on counted examples."""
+    y, vocab, size = found.label, found.vocab, len(found.ids)
     prior = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    df = Counter(t for r in rows for t in r[3])
-    vocab = sorted(t for t, c in df.items() if c >= least)
-    index = {t: i for i, t in enumerate(vocab)}
-    idf = np.log((1 + len(rows)) / np.array([df[t] for t in vocab] or [1], np.float32)).astype(np.float32)
-    model = LatentVotes(index, np.array([t.startswith(_STYLE) for t in vocab], bool), idf, np.zeros((len(vocab), 1), np.float32), np.zeros((0, 1), np.float32), y, y, prior, k, sharp)
-    if not rows or not vocab:
+    idf = np.log((1 + size) / np.maximum(found.df, 1)).astype(np.float32)
+    model = LatentVotes({t: i for i, t in enumerate(vocab)}, np.array([t.startswith(_STYLE) for t in vocab], bool), idf, np.zeros((len(vocab), 1), np.float32), np.zeros((0, 1), np.float32), y, y, prior, k, sharp)
+    if not size or not vocab:
         return model
-    parts = [model.vector(r[3], r[4]) for r in rows]
-    row, column = np.repeat(np.arange(len(rows)), [len(a) for a, _ in parts]), np.concatenate([a for a, _ in parts])
-    value = np.concatenate([v for _, v in parts])
+    row, column = found.row, found.term
+    value = (1 + np.log(found.count.astype(np.float32))) * idf[column]
+    view = 2 * row + model.style[column]
+    value = (value / np.sqrt(np.maximum(np.bincount(view, weights=value**2, minlength=2 * size), 1e-18))[view]).astype(np.float32)
     back = np.argsort(column, kind="stable")
     turned = column[back], row[back], value[back]
     # randomised range finder with power steps; a fixed seed makes fits repeatable
-    basis = np.random.default_rng(0).standard_normal((len(vocab), min(len(vocab), len(rows), rank + 16))).astype(np.float32)
+    basis = np.random.default_rng(0).standard_normal((len(vocab), min(len(vocab), size, rank + 16))).astype(np.float32)
     for _ in range(4):
-        basis, _ = np.linalg.qr(_times(*turned, _times(row, column, value, basis, len(rows)), len(vocab)))
-    _, _, vt = np.linalg.svd(_times(row, column, value, basis, len(rows)), full_matrices=False)
+        basis, _ = np.linalg.qr(_times(*turned, _times(row, column, value, basis, size), len(vocab)))
+    _, _, vt = np.linalg.svd(_times(row, column, value, basis, size), full_matrices=False)
     directions = (basis @ vt[:rank].T).astype(np.float32)
-    vectors = _times(row, column, value, directions, len(rows))
+    vectors = _times(row, column, value, directions, size)
     vectors /= np.maximum(np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)), 1e-9)
-    weight = class_weights(y, n, counts)
-    return LatentVotes(index, model.style, idf, directions, vectors.astype(np.float32), weight * y, weight, prior, k, sharp)
+    weight = class_weights(y, found.n, counts)
+    return LatentVotes(model.index, model.style, idf, directions, vectors.astype(np.float32), weight * y, weight, prior, k, sharp)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_each: int = 2000, least: int = 3, rank: int = 48, k: int = 25, sharp: float = 20.0, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> LatentVotes:
     """Fit on at most ``max_each`` labelled rows of each class; the driver holds their counted terms."""
     common.small_batches(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, label, max_each, folds, id_col, text_col)
-    return build(counted_terms(sample, text_terms), counts, least, rank, k, sharp)
+    return build(counted_terms(sample, text_terms, least), counts, rank, k, sharp)
 
 
 def score(docs: DataFrame, model: LatentVotes, threshold: float = 0.3, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

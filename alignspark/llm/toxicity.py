@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .examples import FOLDS, class_weights, counted_terms, fit_logistic, labelled_sample
+from .examples import FOLDS, Counted, class_weights, counted_terms, fit_logistic, labelled_sample
 
 _WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
@@ -55,7 +56,12 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Examples in block order, and for each term its entries (block, largest weight, postings)."""
+    """Examples in block order, and for each term its entries (block, largest weight, postings).
+
+    Terms that more than one in ``dense`` examples hold have rows of all
+    examples' weights instead, in a matrix that is made from the postings where
+    it is first used.
+    """
 
     index: dict[str, int]
     weights: np.ndarray  # of the terms
@@ -73,92 +79,114 @@ class BlockMaxIndex:
     prior: float
     slope: float = 0.0
     shift: float = 0.0
+    dense: int = 16
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("common", "rows")}
+
+    def _rows(self) -> None:
+        """Rows of the frequent terms (by block, padded), and each term's row or -1."""
+        postings = self.entry_at[self.term_at]
+        often = np.flatnonzero(np.diff(postings) * self.dense > len(self.ids))
+        self.common = np.full(len(self.weights), -1, np.int64)
+        self.common[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), -(-len(self.ids) // self.block) * self.block), np.float32)
+        for r, t in enumerate(often.tolist()):
+            own = slice(int(postings[t]), int(postings[t + 1]))
+            self.rows[r, self.example[own]] = self.value[own]
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Known terms and their unit-length weights."""
-        known = [(i, n) for t, n in counts.items() if (i := self.index.get(t)) is not None]
-        at = np.array([i for i, _ in known], np.int64)
-        v = (1 + np.log(np.array([n for _, n in known], np.float64))) * self.weights[at]
+        at = np.fromiter(map(self.index.get, counts, repeat(-1)), np.int64, len(counts))
+        known = at >= 0
+        at = at[known]
+        v = ((1 + np.log(np.fromiter(counts.values(), np.float64, len(counts))[known])) * self.weights[at]).astype(np.float64)
         length = np.sqrt((v * v).sum())
         return (at, v / length) if length > 0 else (at[:0], v[:0])
 
-    def nearest(self, counts: dict[str, int], without: int | None = None, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """Places and similarities of the k nearest examples with a common term, best first; ties by place."""
-        at, v = self.vector(counts)
+    def nearest(self, queries: list[dict[str, int]], without: list[int] | None = None, first: int = 8) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, places and similarities of the k nearest examples with a common term, best first; ties by place."""
+        if not hasattr(self, "rows"):
+            self._rows()
+        vectors = [self.vector(q) for q in queries]
+        often = np.zeros((len(queries), len(self.rows)), np.float32)
+        for i, (at, v) in enumerate(vectors):
+            row = self.common[at]
+            often[i, row[row >= 0]] = v[row >= 0]
+        parts = often @ self.rows
+        return [self._search(at, v, parts[i], None if without is None else without[i], first) for i, (at, v) in enumerate(vectors)]
+
+    def _search(self, at: np.ndarray, v: np.ndarray, sims: np.ndarray, without: int | None, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """From the similarities by the frequent terms: blocks in order of their bounds, the other terms' postings in them."""
+        rare = self.common[at] < 0
+        at, v = at[rare], v[rare].astype(np.float32)
         sizes = self.term_at[at + 1] - self.term_at[at]
         entries, of = _ranges(self.term_at[at], sizes), np.repeat(v, sizes)
         blocks = self.entry_block[entries]
-        bounds = np.bincount(blocks, weights=of * self.entry_most[entries], minlength=-(-len(self.ids) // self.block))
-        sims = np.zeros(len(self.ids))
+        bounds = sims.reshape(-1, self.block).max(axis=1) if len(sims) else np.zeros(0)
+        bounds = bounds + np.bincount(blocks, weights=of * self.entry_most[entries], minlength=len(bounds))
+        if without is not None:
+            sims[without] = -np.inf
 
         def opened(wanted: np.ndarray) -> None:
             some = wanted[blocks]
             e = entries[some]
             sizes = self.entry_at[e + 1] - self.entry_at[e]
             p = _ranges(self.entry_at[e], sizes)
-            np.add(sims, np.bincount(self.example[p], weights=np.repeat(of[some], sizes) * self.value[p], minlength=len(sims)), out=sims)
+            np.add(sims, np.bincount(self.example[p], weights=np.repeat(of[some], sizes) * self.value[p], minlength=len(sims)), out=sims, casting="same_kind")
 
-        order = np.argsort(-bounds, kind="stable")[:first]
         now = np.zeros(len(bounds), bool)
-        now[order] = True
+        now[np.argsort(-bounds, kind="stable")[:first]] = True
         opened(now)
-        if without is not None:
-            sims[without] = 0.0
-        least = np.partition(sims, len(sims) - self.k)[len(sims) - self.k] if len(sims) > self.k else 0.0
-        rest = ~now & (bounds > 0) & (bounds >= least - 1e-9)
-        if rest.any():
-            opened(rest)
-            if without is not None:
-                sims[without] = 0.0
-        found = np.flatnonzero(sims > 0)
+        inside = sims[np.repeat(now, self.block)]
+        least = np.partition(inside, len(inside) - self.k)[len(inside) - self.k] if len(inside) > self.k else 0.0
+        rest = ~now & (bounds > 0) & (bounds >= least - 1e-5)
+        opened(rest)
+        found = np.flatnonzero(np.where(np.repeat(now | rest, self.block), sims, 0) > 1e-9)
+        if len(found) > self.k:  # ties of the k-th stay until they are put in order
+            found = found[sims[found] >= np.partition(sims[found], len(found) - self.k)[len(found) - self.k]]
         best = found[np.lexsort((found, -sims[found]))[: self.k]]
-        return best, sims[best]
+        return best, sims[best].astype(np.float64)
 
     def vote(self, places: np.ndarray, sims: np.ndarray) -> float:
         w = sims**2 * self.weight[places]
         return float(((w * self.label[places]).sum() + self.prior) / (w.sum() + 1))
 
-    def score(self, counts: dict[str, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        """Calibrated score; without neighbours the vote is the share of toxic labels."""
-        places, sims = self.nearest(counts)
-        z = self.slope * self.vote(places, sims) + self.shift
-        return 1 / (1 + float(np.exp(-np.clip(z, -30, 30)))), places, sims
-
-
-def build(rows: list[tuple[int, float, int, list[str], np.ndarray]], counts: dict[int, int], least: int, k: int, block: int) -> BlockMaxIndex:
-    """The index of examples (id, label, number, terms, counts); terms in fewer than ``least`` examples are left out."""
-    y, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.float64)
-    seen = Counter(t for r in rows for t in r[3])
-    index = {t: i for i, t in enumerate(sorted(t for t, c in seen.items() if c >= least))}
-    lengths = np.array([len(r[3]) for r in rows], np.int64)
-    term = np.fromiter((index.get(t, -1) for r in rows for t in r[3]), np.int64, int(lengths.sum()))
-    doc = np.repeat(np.arange(len(rows)), lengths)
-    tf = 1 + np.log(np.concatenate([r[4] for r in rows] or [np.ones(0)]).astype(np.float64))
-    term, doc, tf = (x[term >= 0] for x in (term, doc, tf))
-    df = np.bincount(term, minlength=len(index))
+    def scores(self, queries: list[dict[str, int]], step: int = 64) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Calibrated score and neighbours of each query; without neighbours the vote is the share of toxic labels."""
+        for a in range(0, len(queries), step):
+            for places, sims in self.nearest(queries[a : a + step]):
+                z = self.slope * self.vote(places, sims) + self.shift
+                yield 1 / (1 + float(np.exp(-np.clip(z, -30, 30)))), places, sims
+
+
+def build(found: Counted, counts: dict[int, int], k: int, block: int) -> BlockMaxIndex:
+    """The index of counted examples."""
+    y, size, words = found.label, len(found.ids), len(found.vocab)
+    term, doc, df = found.term, found.row, found.df
     ones, zeros = max(float(y.sum()), 1e-9), max(float((1 - y).sum()), 1e-9)
-    toxic = np.bincount(term, weights=y[doc], minlength=len(index))
-    share = df / max(1, len(rows))
+    toxic = np.bincount(term, weights=y[doc], minlength=words)
+    share = df / max(1, size)
     errors = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / zeros))
-    weights = np.log((1 + len(rows)) / np.maximum(df, 1)) * np.abs(toxic / ones - (df - toxic) / zeros) / errors
-    value = tf * weights[term]
-    lengths = np.sqrt(np.bincount(doc, weights=value * value, minlength=len(rows)))
+    weights = np.log((1 + size) / np.maximum(df, 1)) * np.abs(toxic / ones - (df - toxic) / zeros) / errors
+    value = (1 + np.log(found.count)) * weights[term]
+    lengths = np.sqrt(np.bincount(doc, weights=value * value, minlength=size))
     value /= np.maximum(lengths[doc], 1e-12)
     # examples in order of the term that weighs most in them, so that blocks hold similar ones
-    main = np.full(len(rows), len(index))
+    main = np.full(size, words)
     by_value = np.lexsort((term, value))
     main[doc[by_value]] = term[by_value]
     order = np.argsort(main, kind="stable")
-    place = np.empty(len(rows), np.int64)
-    place[order] = np.arange(len(rows))
+    place = np.empty(size, np.int64)
+    place[order] = np.arange(size)
     sort = np.lexsort((place[doc], term))
     term, example, value = term[sort], place[doc][sort], value[sort]
     new = np.ones(len(term), bool)
     new[1:] = (term[1:] != term[:-1]) | (example[1:] // block != example[:-1] // block)
     starts = np.flatnonzero(new)
     return BlockMaxIndex(
-        index, weights, np.searchsorted(term[starts], np.arange(len(index) + 1)), (example[starts] // block).astype(np.int32), np.maximum.reduceat(value, starts) if len(starts) else value, np.append(starts, len(term)),
-        example.astype(np.int32), value, np.array([rows[i][0] for i in order], np.int64), y[order], class_weights(y, n, counts)[order], block, k, counts.get(1, 0) / max(1, sum(counts.values())),
+        {t: i for i, t in enumerate(found.vocab)}, weights, np.searchsorted(term[starts], np.arange(words + 1)).astype(np.int32), (example[starts] // block).astype(np.int16), (np.maximum.reduceat(value, starts) if len(starts) else value).astype(np.float32), np.append(starts, len(term)).astype(np.int32),
+        example.astype(np.int32), value.astype(np.float32), found.ids[order], y[order], class_weights(y, found.n, counts)[order], block, k, counts.get(1, 0) / max(1, sum(counts.values())),
     )
 
 
@@ -171,14 +199,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
     common.small_batches(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, label, max_each, folds, id_col, text_col)
     sample = common.written(sample, "sample")
-    model = build(counted_terms(sample, word_terms), counts, least, k, block)
+    model = build(counted_terms(sample, word_terms, least), counts, k, block)
     sent = docs.sparkSession.sparkContext.broadcast((model, {i: p for p, i in enumerate(model.ids.tolist())}))  # at most 2 * max_each examples
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, place = sent.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            found = [index.nearest(word_terms(t), place[i]) for i, t in zip(ids, batch.column(1).to_pylist(), strict=True)]
+            found = [f for a in range(0, len(ids), 64) for f in index.nearest([word_terms(t) for t in batch.column(1)[a : a + 64].to_pylist()], [place[i] for i in ids[a : a + 64]])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.vote(*f) for f in found], pa.float64())], ["doc_id", "vote"])
 
     at = sent.value[1]
@@ -208,8 +236,7 @@ def score(docs: DataFrame, model: BlockMaxIndex, threshold: float = 0.5, folds:
         index = sent.value
         for batch in batches:
             scores, near, sims = [], [], []
-            for text in batch.column(2).to_pylist():
-                s, p, c = index.score(word_terms(text))
+            for s, p, c in index.scores([word_terms(t) for t in batch.column(2).to_pylist()]):
                 scores.append(s)
                 near.append(index.ids[p[:3]].tolist())
                 sims.append(c[:3].tolist())
@@ -237,6 +264,6 @@ def clean_rows(docs: DataFrame, model: BlockMaxIndex, threshold: float = 0.5, te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         for batch in batches:
-            yield batch.filter(pa.array([index.score(word_terms(t or ""))[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([s < threshold for s, _, _ in index.scores([word_terms(t or "") for t in batch.column(at).to_pylist()])], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
