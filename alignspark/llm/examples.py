@@ -82,7 +82,7 @@ def counted_terms(sample: DataFrame, terms: Callable[[str], dict[str, int]], lea
     index: dict[str, int] = {}
     at, kept = [], []
     for i, h in enumerate(hashes):
-        some = np.isin(h, often)
+        some = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h if len(often) else np.zeros(len(h), bool)
         at.append(np.fromiter((index.setdefault(t, len(index)) for t in compress(listed(i), some)), np.int64, int(some.sum())))
         kept.append(counts[i][some])
     row, term, count = np.repeat(np.arange(len(at)), [len(x) for x in at]), np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.int64), *kept])

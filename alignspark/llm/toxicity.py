@@ -79,7 +79,7 @@ class BlockMaxIndex:
     prior: float
     slope: float = 0.0
     shift: float = 0.0
-    dense: int = 16
+    dense: int = 32
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in vars(self).items() if k not in ("common", "rows")}
