@@ -1,8 +1,10 @@
+import math
 import random
 import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from alignspark.llm import decontaminate as D
 from alignspark.llm import queries
@@ -19,6 +21,41 @@ def test_masks_survive_substitutions(length):
     assert not missed
 
 
+@pytest.mark.parametrize("length", range(1, 12))
+def test_runs_survive_substitutions(length):
+    """Every short item keeps a whole run under any choice of the tokens that may differ."""
+    may = length - math.ceil(length * 0.8)
+    pieces = [set(range(a, a + n)) for a, n in D.runs(length)]
+    assert sorted(x for p in pieces for x in p) == list(range(length))
+    assert all(any(not p & set(c) for p in pieces) for c in combinations(range(length), may))
+
+
+def test_items_of_every_length(spark):
+    """One item for each length from 1 to 20; every pattern of substitutions (400 at most) is found, and one more is not."""
+    rnd = random.Random(3)
+    items = {n: [f"i{n}t{k}" for k in range(n)] for n in range(1, 21)}
+    docs, want, d = [], set(), 0
+    for n, item in items.items():
+        may = n - math.ceil(n * 0.8)
+        patterns = list(combinations(range(n), may))
+        for c in rnd.sample(patterns, min(400, len(patterns))):
+            docs.append((d, " ".join(["x", "y", *("z" if k in c else t for k, t in enumerate(item)), "w"])))
+            want.add((d, n))
+            d += 1
+        if n > 1:
+            c = rnd.sample(range(n), may + 1)
+            docs.append((d, " ".join("z" if k in c else t for k, t in enumerate(item))))
+            d += 1
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
+def test_scripts_without_spaces(spark):
+    docs = spark.createDataFrame([(1, "前文天地玄黄宇宙洪荒日月盈昃后文"), (2, "天地玄黄")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "天地玄黄宇宙洪荒日月盈昃")], "item_id long, text string")
+    assert [(r.doc_id, r.matched, r.window) for r in D.contaminated(docs, bench).collect()] == [(1, 12, 12)]
+
+
 def tokens(t):
     return re.findall(r"[^\W_]+", (t or "").lower())
 
@@ -67,7 +104,7 @@ def test_query(spark, texts):
 
 def test_shuffled_join_gives_the_same(spark):
     a = queries.op8_decontaminate(spark, SF)
-    b = D.contaminated(queries.table(spark, SF, "documents"), queries.table(spark, SF, "benchmark"), broadcast_rows=0)
+    b = D.contaminated(queries.table(spark, SF, "documents"), queries.table(spark, SF, "benchmark"), broadcast_bytes=0)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
@@ -75,7 +112,19 @@ def test_odd_rows(spark, odd, none):
     item = "one two three four five six seven"
     bench = spark.createDataFrame([(1, item, "c"), (1, item, "c"), (2, None, "c"), (None, "word " * 30, "c"), (3, "short", "c")], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id): (r.matched, r.window) for r in D.contaminated(odd, bench).collect()}
-    assert got[1, 1] == got[2, 1] == (7, 7) and set(got) == {(1, 1), (2, 1)}
+    assert got[1, 1] == got[2, 1] == (7, 7) and {k for k in got if k[1] is not None} == {(1, 1), (2, 1)}
     assert D.contaminated(none, bench).count() == 0 and D.contaminated(odd, bench.where("false")).count() == 0
     clean = D.clean_rows(odd, bench)
     assert clean.columns == odd.columns and clean.count() == 6
+
+
+def test_clean_rows_judge_by_text(spark):
+    """A copy of an item goes whatever its id; another text under the same id stays; clashing and dotted names pass."""
+    item = " ".join(f"t{i}" for i in range(15))
+    docs = spark.createDataFrame([(None, item, 1), (None, "clean", 2), (3, item, 3), (3, "other", 4), (3, item, 5), (4, None, 6)], "doc_id long, text string, n int")
+    for name in ("_leak", "_k0", "_k1", "_dt", "_of__k0", "item_id", "a.b", "shift"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = D.clean_rows(docs, bench)
+    assert clean.columns == docs.columns and sorted(r.n for r in clean.collect()) == [2, 4, 6]
+    assert D.clean_rows(docs, bench.where("false")).count() == 6 and D.clean_rows(docs.where("false"), bench).count() == 0
