@@ -79,12 +79,16 @@ _LEVEL_SQL = """
 
 _BOUND_SQL = "{t}.a / ({t}.a + {t}.b) - 1.6448536269514722 * sqrt({t}.a * {t}.b / (({t}.a + {t}.b) * ({t}.a + {t}.b) * ({t}.a + {t}.b + 1)))"
 
+_SUFFIX_SQL = ", ".join(f"'{s}'" for s in url_filter.SUFFIXES)
+
 SQL = {
-    "op1_url_filter": """
+    "op1_url_filter": f"""
         WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-        v AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM u),
+        w AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM u),
+        v AS (SELECT *, CASE WHEN two IN ({_SUFFIX_SQL}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE two END AS domain,
+                     CASE WHEN two IN ({_SUFFIX_SQL}) THEN two ELSE string_split(host, '.')[-1] END AS suffix FROM w),
         h AS (SELECT host, domain, suffix, CAST(count(*) AS DOUBLE) AS n, CAST(sum(quality) AS DOUBLE) AS k
               FROM v JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL GROUP BY ALL),
         everything AS (SELECT coalesce(sum(k), 0) + 1 AS a, coalesce(sum(n), 0) - coalesce(sum(k), 0) + 1 AS b FROM h),

@@ -42,13 +42,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels (a public-suffix table can replace it)."""
-    return F.substring_index(host, ".", -2)
+#: Public suffixes of two labels under which names are registered, the frequent ones of the public suffix list.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "ac.jp", "co.jp", "ne.jp", "or.jp", "com.au", "edu.au", "gov.au", "net.au", "org.au", "co.nz", "org.nz", "com.br", "gov.br", "org.br",
+    "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "com.hk", "com.tw", "co.in", "gov.in", "org.in", "co.kr", "or.kr", "com.mx", "com.ar", "com.tr", "co.za", "com.sg", "co.il",
+)
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The public suffix: the last two labels if they are listed, else the last."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1)) if suffixes else F.substring_index(host, ".", -1)
+
+
+def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The registered domain: the public suffix and the label before it."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two) if suffixes else two
 
 
 def split_rule(rule: str) -> tuple[str, str]:
@@ -78,7 +88,7 @@ def _strength(groups: DataFrame, floor: float, ceiling: float) -> Column:
     return 1 / rho - 1
 
 
-def reputation(outcomes: DataFrame, floor: float = 0.001, ceiling: float = 0.5, z: float = 1.6448536269514722) -> DataFrame:
+def reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES, floor: float = 0.001, ceiling: float = 0.5, z: float = 1.6448536269514722) -> DataFrame:
     """Posteriors from outcomes (host, good 0/1): level, key, mean, bound.
 
     Levels are host, domain, suffix and all; the bound is the posterior mean
@@ -87,17 +97,19 @@ def reputation(outcomes: DataFrame, floor: float = 0.001, ceiling: float = 0.5,
     """
     hosts = outcomes.where("good IS NOT NULL AND host IS NOT NULL").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("good").cast("double")).alias("k"))
     # all levels are made from the hosts' counts, so the outcomes are read once
-    hosts = common.written(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "host_outcomes")
-    everything = hosts.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0.0)).alias("k")).select((F.col("k") + 1).alias("a"), (F.col("n") - F.col("k") + 1).alias("b"))
-
-    def level(groups: DataFrame, key: str, above: DataFrame, on: str | None) -> DataFrame:
-        up = above.select(*([F.col("key").alias(on)] if on else []), (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
-        # one row of all pages, or a join on the level above
-        known = groups.join(up, on) if on else groups.join(F.broadcast(up))
-        fitted = known.agg(_strength(known, floor, ceiling).alias("s"))  # one row
-        return known.join(F.broadcast(fitted)).select(F.col(key).alias("key"), (F.col("s") * F.col("m") + F.col("k")).alias("a"), (F.col("s") * (1 - F.col("m")) + F.col("n") - F.col("k")).alias("b"))
-
-    suffixes = level(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffix", everything, None)
+    hosts = common.written(hosts.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes)), "host_outcomes")
+    n, k = hosts.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))).first()
+    everything = outcomes.sparkSession.createDataFrame([(k + 1.0, n - k + 1.0)], "a double, b double")
+
+    def level(groups: DataFrame, key: str, above: DataFrame | None, on: str | None) -> DataFrame:
+        """The posteriors of one level, written once; the strength of its prior is one number."""
+        mean = F.lit((k + 1.0) / (n + 2.0)) if above is None else F.col("m")
+        known = groups if above is None else groups.join(above.select(F.col("key").alias(on), (F.col("a") / (F.col("a") + F.col("b"))).alias("m")), on)
+        known = common.written(known.withColumn("m", mean), f"{key}_groups")
+        s = F.lit(known.agg(_strength(known, floor, ceiling)).first()[0])
+        return known.select(F.col(key).alias("key"), (s * F.col("m") + F.col("k")).alias("a"), (s * (1 - F.col("m")) + F.col("n") - F.col("k")).alias("b"))
+
+    suffixes = level(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffix", None, None)
     domains = level(hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("k").alias("k")), "domain", suffixes, "suffix")
     by_host = level(hosts, "host", domains, "domain")
     parts = [("host", by_host), ("domain", domains), ("suffix", suffixes), ("all", everything.select(F.lit("").alias("key"), "a", "b"))]
@@ -107,7 +119,7 @@ def reputation(outcomes: DataFrame, floor: float = 0.001, ceiling: float = 0.5,
     return rows.select("level", "key", mean.alias("mean"), (mean - z * F.sqrt(mean * (1 - mean) / (total + 1))).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], least: float = 0.6, id_col: str = "page_id", url_col: str = "url", **prior) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], least: float = 0.6, id_col: str = "page_id", url_col: str = "url", suffixes: tuple[str, ...] = SUFFIXES, **prior) -> DataFrame:
     """page_id, host, path, rule, verdict, level (whose posterior stands), bound; one row for each page.
 
     A null url, or one without ``://``, has an empty host and path and is
@@ -115,17 +127,17 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], le
     url: the longest, then the one that sorts first.  Repeated pages are judged
     alike; an empty table gives no rows; other columns are not read.
     """
-    url = F.col(url_col)
-    rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rows = rows.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    known = common.written(reputation(outcomes, **prior), "reputation")
+    url = F.col(common.quoted(url_col))
+    rows = pages.select(F.col(common.quoted(id_col)).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = rows.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
+    known = common.written(reputation(outcomes, suffixes, **prior), "reputation")
     hosts = rows.groupBy("host", "domain", "suffix").agg(F.lit(1).alias("one")).drop("one")
     found = hosts
     for name, on in (("host", "host"), ("domain", "domain"), ("suffix", "suffix")):
         found = found.join(known.where(F.col("level") == name).select(F.col("key").alias(on), F.col("bound").alias(f"b_{name}")), on, "left")
-    found = found.join(F.broadcast(known.where("level = 'all'").select(F.col("bound").alias("b_all"))))  # one row
+    everything = known.where("level = 'all'").select("bound").first()[0]
     level = F.when(F.col("b_host").isNotNull(), "host").when(F.col("b_domain").isNotNull(), "domain").when(F.col("b_suffix").isNotNull(), "suffix").otherwise("all")
-    judged = found.select("host", level.alias("level"), F.coalesce("b_host", "b_domain", "b_suffix", "b_all").alias("bound"))
+    judged = found.select("host", level.alias("level"), F.coalesce("b_host", "b_domain", "b_suffix", F.lit(everything)).alias("bound"))
     rule = matched_rule(F.col("host"), F.col("path"), rules)
     out = rows.select("page_id", "host", "path", rule.alias("rule")).join(judged, "host")
     verdict = F.coalesce(rule_verdict(F.col("rule"), rules), F.when(F.col("bound") >= least, F.lit("allow")).otherwise(F.lit("block")))

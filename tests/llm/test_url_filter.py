@@ -49,3 +49,9 @@ def test_reputation_shrinks(spark):
     got = U.filter_urls(pages, spark.createDataFrame(rows, "host string, good int"), {}).collect()
     assert {(r.page_id, r.level) for r in got} == {(1, "domain"), (2, "all"), (3, "host")} and len(got) == 4
     assert {r.verdict for r in got if r.page_id == 3} == {"block"}
+
+
+def test_public_suffixes(spark):
+    rows = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("x.example.com",), ("com",), ("",)], "host string")
+    got = [tuple(r) for r in rows.select(U.domain_of(rows.host), U.suffix_of(rows.host)).collect()]
+    assert got == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("example.com", "com"), ("com", "com"), ("", "")]
