@@ -10,6 +10,7 @@ called once for each piece that is not in a bounded cache.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import string
@@ -64,6 +65,10 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            split = json.load(f).get("pre_tokenizer") or {}
+        if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError("only a byte-level pre-tokenizer with its own pattern and without a prefix space is supported")
         letters = _byte_letters()
         self._letters = letters
         self._space = letters[32]

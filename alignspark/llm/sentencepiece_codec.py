@@ -54,6 +54,8 @@ class BacktrackingEncoder:
         self.processor = SentencePieceProcessor(model_file=path)
         self.unknown = self.processor.unk_id()
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == p.BYTE}
+        if len(self.bytes) != 256:
+            raise ValueError("only models with a piece for every byte are supported")
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == p.NORMAL}
         self.score = {p.piece: p.score for p in proto.pieces if p.type == p.NORMAL}
         self.text = {i: t for t, i in self.ids.items()}
