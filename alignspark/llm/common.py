@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def byte_words(text: str) -> list[bytes]:
     """Words of a text in UTF-8: A-Z lower-cased, split at runs of the six ASCII white-space bytes."""
     return text.encode("utf-8").lower().split()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder in local mode (tests); an error on a
+    cluster, whose executors would each write to a folder of their own.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="alignspark-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -56,6 +64,14 @@ def fold(column: str | Column, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary") if isinstance(column, str) else column.cast("string").cast("binary")) % F.lit(n)
 
 
+def one_row(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """One row, with all its columns, for each value of the keys: the one whose other columns have the smallest hash."""
+    columns = [df[quoted(c)] for c in df.columns]
+    hashed = [c for c, (_, kind) in zip(columns, df.dtypes, strict=True) if "map<" not in kind and "variant" not in kind]
+    picked = df.groupBy(*(k.alias(f"_{i}") for i, k in enumerate(keys))).agg(F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias("_row"))
+    return picked.select("_row.*")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many rows: a batch of long texts then stays some MB."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -3,12 +3,14 @@
 Every task inserts the whole byte strings of its rows into a compressed radix
 trie whose terminal nodes hold the smallest and largest identifier and a count,
 so that copies collapse before the shuffle however many there are.  The
-terminals are dealt out by (length, SHA-256); in each such partition a second
-trie compares full byte strings, so equality never rests on the hash: two
-different texts under one hash raise an error instead of being merged.
+terminals are dealt out by (length, SHA-256); each such partition inserts its
+full byte strings into one trie again, whose terminals own the texts.  Equality
+never rests on the hash: two different texts under one hash raise an error
+instead of being merged.
 
 Memory: a trie that holds more than ``trie_bytes`` spills whole first-level
-subtrees, largest first, as partial terminals, which the second trie merges.
+subtrees, largest first: those of the first stage as partial terminals, which
+the second merges, those of the second as finished ones.
 """
 
 from __future__ import annotations
@@ -106,12 +108,12 @@ _OUT = pa.schema([("_len", pa.int64()), ("_sha", pa.binary()), ("_bytes", pa.bin
 _OUT_SQL = "_len long, _sha binary, _bytes binary, _min long, _max long, _n long"
 
 
-def _pack(rows: list[tuple[bytes, list]]) -> pa.RecordBatch:
+def _pack(rows: list[tuple[bytes, list]], with_bytes: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
         {
             "_len": [len(k) for k, _ in rows],
             "_sha": [hashlib.sha256(k).digest() for k, _ in rows],
-            "_bytes": [k for k, _ in rows],
+            "_bytes": [k if with_bytes else None for k, _ in rows],
             "_min": [e[0] for _, e in rows],
             "_max": [e[1] for _, e in rows],
             "_n": [e[2] for _, e in rows],
@@ -120,16 +122,16 @@ def _pack(rows: list[tuple[bytes, list]]) -> pa.RecordBatch:
     )
 
 
-def _chunks(rows: Iterator[tuple[bytes, list]], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _chunks(rows: Iterator[tuple[bytes, list]], with_bytes: bool = True, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     part, size = [], 0
     for row in rows:
         part.append(row)
         size += len(row[0])
         if size >= most or len(part) >= 2000:
-            yield _pack(part)
+            yield _pack(part, with_bytes)
             part, size = [], 0
     if part:
-        yield _pack(part)
+        yield _pack(part, with_bytes)
 
 
 def _local(trie_bytes: int):
@@ -145,46 +147,37 @@ def _local(trie_bytes: int):
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (length, hash): one trie for each such partition, dropped when the next begins."""
-    now, trie, done = None, PatriciaTrie(), []
-
-    def close() -> None:
-        ends = list(trie.terminals())
-        if len(ends) > 1:
-            raise ValueError(f"different texts share length and SHA-256 {now[1].hex()}")
-        done.extend((now, e) for _, e in ends)
-
-    def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_pydict(
-            {"_len": [k[0] for k, _ in done], "_sha": [k[1] for k, _ in done], "_bytes": [None] * len(done), "_min": [e[0] for _, e in done], "_max": [e[1] for _, e in done], "_n": [e[2] for _, e in done]},
-            schema=_OUT,
-        )
-        done.clear()
-        return out
-
-    for batch in batches:
-        for length, sha, key, low, high, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (length, sha) != now:
-                if now is not None:
-                    close()
-                now, trie = (length, sha), PatriciaTrie()
-            trie.add(key, low, high, n)
-        if len(done) >= 5000:
-            yield rows()
-    if now is not None:
-        close()
-    if done:
-        yield rows()
+def _merge(trie_bytes: int):
+    """Rows sorted by (length, hash) to the terminals of one trie for the whole partition.
+
+    When the trie holds more than ``trie_bytes`` between two hashes, subtrees
+    are given out and dropped: their texts are complete, as a text's rows
+    follow each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, text, trie = None, None, PatriciaTrie()
+        for batch in batches:
+            for length, sha, key, low, high, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (length, sha) != now:
+                    if trie.held > trie_bytes:
+                        yield from _chunks(trie.spill(trie_bytes // 2), with_bytes=False)
+                    now, text = (length, sha), key
+                elif key != text:
+                    raise ValueError(f"different texts share length and SHA-256 {sha.hex()}")
+                trie.add(key, low, high, n)
+        yield from _chunks(trie.terminals(), with_bytes=False)
+
+    return run
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 48 << 20) -> DataFrame:
     """One row for each distinct text: _len (bytes), _sha (binary), smallest and largest id, number of rows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(common.quoted(id_col)).cast("long").alias("_id"), F.coalesce(F.col(common.quoted(text_col)), F.lit("")).alias("_text"))
     local = rows.mapInArrow(_local(trie_bytes), _OUT_SQL)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = local.repartition(n, "_len", "_sha").sortWithinPartitions("_len", "_sha")
-    return dealt.mapInArrow(_merge, _OUT_SQL).drop("_bytes")
+    return dealt.mapInArrow(_merge(trie_bytes), _OUT_SQL).drop("_bytes")
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, keep: str, trie_bytes: int, columns: list) -> DataFrame:
@@ -192,7 +185,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, keep: str, trie_bytes:
         raise ValueError("keep must be 'largest' or 'smallest'")
     common.small_batches(docs.sparkSession)
     groups = exact_groups(docs, id_col, text_col, trie_bytes).withColumnRenamed("_max" if keep == "largest" else "_min", "_keep")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(common.quoted(text_col)), F.lit(""))
     rows = docs.select(*columns, F.octet_length(text).cast("long").alias("_len"), F.unhex(F.sha2(text, 256)).alias("_sha"))
     return rows.join(groups, ["_len", "_sha"], "inner")
 
@@ -206,7 +199,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and then all rows stay; rows repeated with the winning id are all marked
     kept.  Columns other than the two named are neither read nor returned.
     """
-    joined = _judged(docs, id_col, text_col, keep, trie_bytes, [F.col(id_col).cast("long").alias("doc_id")])
+    joined = _judged(docs, id_col, text_col, keep, trie_bytes, [F.col(common.quoted(id_col)).cast("long").alias("doc_id")])
     return joined.select(
         "doc_id",
         F.col("_keep").alias("keep_id"),
@@ -217,6 +210,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", trie_bytes: int = 48 << 20) -> DataFrame:
-    """The rows that exact_dedup marks kept, with all their columns."""
-    joined = _judged(docs, id_col, text_col, keep, trie_bytes, [F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id")])
-    return joined.where(F.col("_id").eqNullSafe(F.col("_keep"))).select("_row.*")
+    """Exactly one row, with all its columns, of each group of identical texts: the one of the winning id.
+
+    Of rows repeated with the winning id, or of a group whose ids are all
+    null, the row whose columns have the smallest hash stays.  A null text
+    counts as empty, an empty table stays empty, and columns may have any names.
+    """
+    columns = [docs[common.quoted(c)] for c in docs.columns]
+    hashed = [c for c, (_, kind) in zip(columns, docs.dtypes, strict=True) if "map<" not in kind and "variant" not in kind]
+    joined = _judged(docs, id_col, text_col, keep, trie_bytes, [F.struct(*columns).alias("_row"), F.xxhash64(*hashed).alias("_order"), F.col(common.quoted(id_col)).cast("long").alias("_id")])
+    kept = joined.where(F.col("_id").eqNullSafe(F.col("_keep")))
+    return kept.groupBy("_len", "_sha").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")

@@ -8,7 +8,7 @@ are compared.  Comparison happens inside the task that holds the key; a task
 emits a spanning forest of the links it verified, never all pairs.  Keys that
 hold more than ``tile`` fingerprints are cut into tiles, pairs of chunks, that
 go to different tasks.  Components come from alternating large-star and
-small-star steps with a reliable checkpoint after each round.
+small-star steps; each round's links are a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -197,44 +197,89 @@ def hamming_links(nodes: DataFrame, distance: int = 4, blocks: int | None = None
 
 def components(links: DataFrame) -> DataFrame:
     """Smallest node reachable for every node of the links (u, v): node, root. Alternating stars until nothing changes."""
-    now = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    spark = links.sparkSession
+
+    def stored(df: DataFrame) -> tuple[DataFrame, str]:
+        path = common.table_path(spark, "stars")
+        df.write.parquet(path)
+        return spark.read.schema("u long, v long").parquet(path), path
+
+    now, path = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(state) == before or state[0] == 0:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-        before = tuple(state)
+        before, old = tuple(state), path
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lowest, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lowest.select("u", F.col("m").alias("v")))
-        now = small.distinct().checkpoint()
+        now, path = stored(small.distinct())
+        common.remove_path(spark, old)
 
 
 def _hex16(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 
 
+def _linked(prints: DataFrame, distance: int, blocks: int | None) -> DataFrame:
+    """fp and the smallest fingerprint that it reaches (root), for each distinct fingerprint of the table prints.
+
+    Nodes are the fingerprints themselves, so ids may repeat or be null.
+    """
+    nodes = common.written(prints.select("fp").distinct(), "nodes")
+    roots = components(hamming_links(nodes.select(F.col("fp").alias("node"), "fp"), distance, blocks))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """Near-duplicate groups: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Null and empty texts have fingerprint zero and are linked like any other;
-    an empty table gives no rows; repeated ids yield a row each.  Rows with a
-    null id form a component only through other rows; alone their
-    component_id is null.
+    an empty table gives no rows; repeated ids yield a row each, and an id with
+    several texts may stand in several components.  Rows with a null id link
+    others like any row; a component without an id has a null component_id.
+    Columns other than the two named are not read.
     """
-    common.shared_dir(docs.sparkSession)
     prints = common.written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = components(hamming_links(nodes.where("node IS NOT NULL"), distance, blocks))
-    labelled = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    linked = common.written(_linked(prints, distance, blocks), "linked")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(linked, "fp")
+    groups = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = linked.join(groups, "root").select("fp", "component_id")
     return prints.join(labelled, "fp").select("doc_id", _hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """One row of each near-duplicate group, that of the smallest id, with all its columns; rows alone by a null id stay."""
-    groups = near_duplicates(docs, id_col, text_col, **kw)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, distance: int = 4, blocks: int | None = None) -> DataFrame:
+    """One row of each near-duplicate group, with all its columns: that of the smallest id.
+
+    Texts are linked as by near_duplicates, here over five words.  A group's
+    row is the one of its smallest id that is not null, if it has one; of rows
+    that share that id, the one whose text (two 64-bit hashes), then whose
+    other columns hash smallest; so exactly one row stays, whatever ids are
+    null or repeated.  Null texts count as empty, an empty table stays empty,
+    and columns may have any names.
+    """
+    common.small_batches(docs.sparkSession)
+    text = F.coalesce(docs[common.quoted(text_col)], F.lit(""))
+    doc_id = docs[common.quoted(id_col)].cast("long")
+    keys = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    prints = common.written(rows.mapInArrow(_keyed_prints(width), "doc_id long, fp long, k0 long, k1 long"), "fingerprints")
+    linked = _linked(prints, distance, blocks)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k0", "k1")
+    first = prints.groupBy("fp").agg(F.min(order).alias("m")).join(linked, "fp").groupBy("root").agg(F.min("m").alias("m"))
+    stay = first.select(F.col("m.doc_id").alias("_i"), F.col("m.k0").alias("_a"), F.col("m.k1").alias("_b"))
+    found = docs.join(stay, doc_id.eqNullSafe(stay["_i"]) & (keys[0] == stay["_a"]) & (keys[1] == stay["_b"]), "left_semi")
+    return common.one_row(found, [doc_id, *keys])
+
+
+def _keyed_prints(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2), batch.column(3)], ["doc_id", "fp", "k0", "k1"])
+
+    return run

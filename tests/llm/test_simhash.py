@@ -10,11 +10,11 @@ from alignspark.llm import queries, simhash
 from .conftest import SF
 
 
-def brute_print(t):
+def brute_print(t, width=4):
     w = (t or "").encode().lower().split()
     if not w:
         return 0
-    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))]
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + width]), 42) for i in range(max(1, len(w) - width + 1))]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
@@ -95,3 +95,26 @@ def test_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0
     stay = simhash.one_of_each(odd)
     assert stay.columns == odd.columns and sorted(str(r.doc_id) for r in stay.collect()) == sorted(map(str, [1, 3, None, 6, 7]))
+    assert simhash.one_of_each(none).count() == 0
+
+
+def test_nodes_are_fingerprints(spark):
+    """A repeated id with two texts links neither of them to the other's group."""
+    base = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, base), (5, base + " x"), (5, "quite another text of some words"), (None, base)], "doc_id long, text string")
+    rows = simhash.near_duplicates(docs).collect()
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in rows}
+    other = f"{brute_print('quite another text of some words'):016x}"
+    assert got[5, other] == 5 and {c for (i, f), c in got.items() if f != other} == {1}
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Null and repeated ids, repeated rows, clashing and dotted names."""
+    t1, t2, q = ("one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g")
+    docs = spark.createDataFrame([(1, t1, 0), (None, t1, 1), (None, t2, 2), (5, t1, 3), (5, q, 4), (5, q, 4), (None, t2, 5), (7, None, 6), (8, "", 7)], "doc_id long, text string, n int")
+    for name in ("_row", "_i", "_a", "_stay", "fp", "k0", "root", "a.b", "_0"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    out = simhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, t1), (None, t2), (5, q), (7, None)], key=str)
+    assert sorted(map(str, out.collect())) == sorted(map(str, simhash.one_of_each(docs.repartition(5)).collect()))
