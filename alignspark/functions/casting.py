@@ -21,15 +21,26 @@ FALSE_TOKENS = ("false", "no", "n", "f", "0", "off")
 TIME_HINTS = ("date", "time", "timestamp", "_at", "created", "updated")
 # Value patterns of each type, in order of precedence.
 PATTERNS = {
-    "timestamp": r"\d{4}-\d{2}-\d{2}[\sT]\d{2}:\d{2}:\d{2}",
-    "date": r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}",
-    "boolean": r"(?i)true|false|yes|no|y|n",
-    "integer": r"-?\d+",
-    "float": r"-?\d*\.?\d+|-?\d*\.?\d*[eE][+-]?\d+",
+    "timestamp": [r"\d{4}-\d{2}-\d{2}[\sT]\d{2}:\d{2}:\d{2}"],
+    "date": [r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}"],
+    "boolean": ["true", "false", "yes", "no", "y", "n"],
+    "integer": [r"-?\d+"],
+    "float": [r"-?\d*\.?\d+", r"-?\d*\.?\d*[eE][+-]?\d+"],
 }
-#: Formats tried in turn, month before day as in the usual lenient reader.
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "d/M/yyyy")
-_NUMBER = r"^-?\d*\.?\d+([eE][-+]?\d+)?$"
+_MONTH_FIRST = r"(0?[1-9]|1[0-2])/\d{1,2}/\d{4}"
+#: Formats tried in turn, month before day as in the usual lenient reader, each only on values of its form: a parse that fails costs an exception.
+DATE_FORMATS = {
+    "yyyy-MM-dd HH:mm:ss": r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}",
+    "yyyy-MM-dd'T'HH:mm:ss": r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}",
+    "yyyy-MM-dd HH:mm": r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}",
+    "yyyy-MM-dd": r"\d{4}-\d{2}-\d{2}",
+    "M/d/yyyy H:mm:ss": rf"{_MONTH_FIRST} \d{{1,2}}:\d{{2}}:\d{{2}}",
+    "M/d/yyyy H:mm": rf"{_MONTH_FIRST} \d{{1,2}}:\d{{2}}",
+    "M/d/yyyy": _MONTH_FIRST,
+    "d/M/yyyy": r"\d{1,2}/(0?[1-9]|1[0-2])/\d{4}",
+}
+#: A number as written: digits with or without a point, and an exponent.
+_NUMBER = r"^-?(?:[0-9]+|[0-9]*[.][0-9]+)(?:[eE][-+]?[0-9]+)?$"
 
 
 @dataclass
@@ -47,7 +58,7 @@ def parse_boolean(c: Column) -> Column:
 
 
 def parse_datetime(c: Column) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS))
+    return F.coalesce(*(F.when(c.rlike(f"^{form}$"), F.try_to_timestamp(c, F.lit(f))) for f, form in DATE_FORMATS.items()))
 
 
 def parse_number(c: Column) -> Column:
@@ -60,7 +71,9 @@ def is_json(c: Column) -> Column:
 
 
 def _fits(c: Column, kind: str) -> Column:
-    return F.trim(c).rlike(f"^(?:{PATTERNS[kind]})$") if kind != "boolean" else F.lower(F.trim(c)).rlike(f"^(?:{PATTERNS[kind][4:]})$")
+    if kind == "boolean":
+        return F.lower(F.trim(c)).isin(*PATTERNS[kind])
+    return F.trim(c).rlike(f"^(?:{'|'.join(PATTERNS[kind])})$")
 
 
 def value_kind(c: Column) -> Column:
@@ -86,10 +99,11 @@ def column_stats(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float
             "json": is_json(c),
             "as_number": parse_number(c).isNotNull(),
             "as_datetime": parse_datetime(c).isNotNull(),
-            **{f"is_{kind}": value_kind(c) == kind for kind in PATTERNS},
+            **{f"is_{kind}": F.col(f"_kind{k}") == kind for kind in PATTERNS},
         }.items():
             aggs.append(F.count_if(some & cond).cast("double").alias(f"{k}_{key}"))
-    row = df.agg(*aggs).first().asDict()
+    # each value's kind is found once, in a projection of its own
+    row = df.select(*(F.col(f"`{n}`") for n in columns), *(value_kind(F.col(f"`{n}`")).alias(f"_kind{k}") for k, n in enumerate(columns))).agg(*aggs).first().asDict()
     return {name: {"n": row["n"]} | {key.split("_", 1)[1]: v for key, v in row.items() if key.split("_", 1)[0] == str(k)} for k, name in enumerate(columns)}
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import quantiles
+
 FLAG = "_is_outlier"
 METHODS = ("iqr", "mad", "zscore")
 
@@ -46,16 +48,16 @@ def bounds(df: DataFrame, columns: list[str], method: str = "iqr", factor: float
         return {}
     col = {n: F.col(f"`{n}`").cast("double") for n in names}
     if method == "iqr":
-        row = df.agg(*(F.percentile(col[n], F.array(F.lit(0.25), F.lit(0.75))).alias(n) for n in names)).first()
+        row = quantiles(df, col, [0.25, 0.75])
         return {n: (row[n][0] - factor * (row[n][1] - row[n][0]), row[n][1] + factor * (row[n][1] - row[n][0])) for n in names if row[n]}
     if method == "zscore":
         row = df.agg(*(F.struct(F.avg(col[n]).alias("m"), F.stddev_samp(col[n]).alias("s")).alias(n) for n in names)).first()
         return {n: (row[n]["m"] - factor * row[n]["s"], row[n]["m"] + factor * row[n]["s"]) for n in names if row[n]["s"]}
-    med = df.agg(*(F.median(col[n]).alias(n) for n in names)).first()
-    known = [n for n in names if med[n] is not None]
+    med = {n: m[0] for n, m in quantiles(df, col, [0.5]).items() if m}
+    known = list(med)
     if not known:
         return {}
-    mad = df.agg(*(F.median(F.abs(col[n] - F.lit(med[n]))).alias(n) for n in known)).first()
+    mad = {n: m[0] for n, m in quantiles(df, {n: F.abs(col[n] - F.lit(med[n])) for n in known}, [0.5]).items()}
     return {n: (med[n] - factor * mad[n] / 0.6745, med[n] + factor * mad[n] / 0.6745) for n in known if mad[n]}
 
 

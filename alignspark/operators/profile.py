@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.casting import parse_datetime
 from ..functions.text import escape_join
 from .dml import ORDER
+from .quantiles import quantiles
 
 #: count_distinct expands the rows once for each column, so columns go in batches.
 BATCH = 8
@@ -109,23 +110,11 @@ def orphan_count(child: DataFrame, parent: DataFrame, keys: list[str], parent_ke
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, exact quartiles and max, one row for each column."""
-    wide = df.agg(
-        *(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count(x).alias("count"),
-                F.avg(x).alias("mean"),
-                F.stddev_samp(x).alias("std"),
-                F.min(x).alias("min"),
-                F.percentile(x, F.lit(0.25)).alias("q25"),
-                F.percentile(x, F.lit(0.5)).alias("q50"),
-                F.percentile(x, F.lit(0.75)).alias("q75"),
-                F.max(x).alias("max"),
-            ).alias(f"s{k}")
-            for k, (c, x) in enumerate((c, F.col(f"`{c}`").cast("double")) for c in columns)
-        )
-    )
-    return wide.select(F.inline(F.array(*(f"s{k}" for k in range(len(columns))))))
+    double = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    row = df.agg(*(F.struct(F.count(x), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)).alias(f"s{k}") for k, x in enumerate(double.values()))).first()
+    middle = quantiles(df, double, [0.25, 0.5, 0.75])
+    rows = [(c, *row[f"s{k}"][:4], *(middle[c] or [None] * 3), row[f"s{k}"][4]) for k, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "column string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 
 
 def string_lengths(df: DataFrame, columns: list[str]) -> DataFrame:
