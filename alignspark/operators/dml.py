@@ -19,15 +19,26 @@ from . import predicates
 ORDER = "_ord"
 
 
-def with_order(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Attach the order column: dense by the given columns, else increasing in file order (not dense).
+def with_order(df: DataFrame, by: list[str] | None = None, dense: bool = False) -> DataFrame:
+    """Attach the order column: dense by the given columns, else increasing in file order, dense if asked.
+
+    Dense file order takes one more pass, which counts the rows of each
+    partition; df must give the same partitions both times, as files do.
 
     A dense number needs a global sort; its offsets come from one count for each
     range partition, not from a single-partition window.  The sorted rows are
     kept on disk, since a second sampling could cut the ranges elsewhere.
     """
     if not by:
-        return df.withColumn(ORDER, F.monotonically_increasing_id())
+        numbered = df.withColumn(ORDER, F.monotonically_increasing_id())
+        if not dense:
+            return numbered
+        part = F.shiftright(F.col(ORDER), 33)
+        starts, at = [], 0
+        for r in sorted(numbered.groupBy(part.alias("p")).count().collect(), key=lambda r: r["p"]):  # one row a partition
+            starts += [F.lit(r["p"]), F.lit(at)]
+            at += r["count"]
+        return numbered.withColumn(ORDER, F.element_at(F.create_map(*starts), part).cast("long") + F.col(ORDER) - F.shiftleft(part, 33)) if starts else numbered
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
@@ -77,9 +88,14 @@ def insert(target: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def last_wins(source: DataFrame, keys: list[str]) -> DataFrame:
-    """Of the rows of each key the one with the highest order; aggregated before the shuffle, so a hot key is no hot task."""
+    """Of the rows of each key the one with the highest order; aggregated before the shuffle, so a hot key is no hot task.
+
+    Without an order column the row with the largest hash of all its columns
+    wins, so that the choice does not change when a task runs again.
+    """
     if ORDER not in source.columns:
-        return source.dropDuplicates(keys)
+        source = source.withColumn(ORDER, F.xxhash64(*(F.col(f"`{c}`") for c in source.columns)))
+        return last_wins(source, keys).drop(ORDER)
     rest = [c for c in source.columns if c not in keys]
     packed = source.groupBy(*keys).agg(F.max(F.struct(F.col(ORDER), *(F.col(f"`{c}`") for c in rest if c != ORDER))).alias("_last"))
     return packed.select(*keys, *(F.col(f"_last.`{c}`").alias(c) for c in rest))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +20,7 @@ from .operators.dml import ORDER
 from .operators.profile import infer_key
 from .plans import analyze as planning
 from .plans.ddl import schema_json
-from .plans.model import ConstraintSpec, Policies, TableSpec, spec_of
+from .plans.model import ConstraintSpec, DdlPolicy, Policies, TableSpec, spec_of
 from .sources.readers import read_any
 from .sources.store import TableStore
 
@@ -84,7 +84,7 @@ class Pipeline:
             keys = [ConstraintSpec("PRIMARY_KEY", list(constrain))] if constrain else []
             self.store.create(spec_of(df.drop(ORDER).schema, table, keys))
         spec = self.store.spec(table)
-        ordered = df if ORDER in df.columns else dml.with_order(df)
+        ordered = df if ORDER in df.columns else dml.with_order(df, dense=mode == "insert")
         named = sync_case(ordered, list(spec.columns))
         found = planning.analyze(named.drop(ORDER), spec, self.policies)
         errors = [i for i in found.issues if i.severity.value == "error" and not (mode.startswith("update") and i.code.value == "MISSING_DB_COLUMN")]
@@ -106,11 +106,13 @@ class Pipeline:
             numeric = outliers.numeric_columns(named.drop(ORDER), [m.source for m in found.mappings])
             treated = outliers.treat(named, numeric, self.policies.outliers.action, self.policies.outliers.method, self.policies.outliers.factor, self.policies.outliers.rule, per_column=True)
         data, report = coerce_frame(treated, _with_order(spec), self.policies, rename)
-        target = self.store.read(table)
+        base = self.store.version(table)
+        target = self.store.read(table, base)
         counts, quarantine = {}, None
         if mode == "insert":
             split = self._isolate(data, target, spec, chunk, tolerance)
-            new, quarantine = dml.insert(target, split.good), split.bad
+            new, quarantine = split.good.drop(ORDER), split.bad
+            dml.check_columns(target, new.columns)
             sums = split.summary.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "success", "failed", "unprocessed"))).first().asDict()
             if sums["total"] and not sums["success"]:
                 raise AlignmentError(f"no row could be loaded: {sums}")
@@ -133,7 +135,8 @@ class Pipeline:
         if trace:
             with open(trace, "a", encoding="utf-8") as f:
                 f.write(f"-- {mode} {table}\n{new._jdf.queryExecution().toString()}\n")
-        version = self.store.write(table, new, spec)
+        # an insert adds a part; the other modes make the table anew from the version that they read
+        version = self.store.append(table, new) if mode == "insert" else self.store.write(table, new, spec, base)
         counts["rows"] = self.store.read(table).count()
         return Result(table, mode, counts, found, report, changes, version, round(time.perf_counter() - began, 3), quarantine)
 
@@ -165,11 +168,14 @@ def _with_order(spec: TableSpec) -> TableSpec:
     return TableSpec(spec.name, spec.columns | {ORDER: ColumnSpec(ORDER, Family.INTEGER)}, spec.constraints, spec.indexes)
 
 
-def load(spark: SparkSession, store: TableStore, source: Any, table: str, if_exists: str = "insert", keys: list[str] | None = None, clean: bool = True, cast: bool = True, infer: bool = False, outlier_factor: float | None = None, add_columns: bool = True, metadata: str | None = None, policies: Policies | None = None, **kw: Any) -> dict:
+def load(spark: SparkSession, store: TableStore, source: Any, table: str, if_exists: str = "insert", keys: list[str] | None = None, clean: bool = True, cast: bool = True, infer: bool = False, outlier_factor: float | None = None, add_columns: bool = True, apply_ddl: bool = True, metadata: str | None = None, policies: Policies | None = None, **kw: Any) -> dict:
     """Read, clean, cast, find keys, and write: a path, records or a frame into a table.
 
     Outliers are left alone unless a factor is given; then their rows are
-    dropped over numeric columns that are no keys, and counted.
+    dropped over numeric columns that are no keys, and counted.  The caller's
+    policies are followed and never changed; without any, new columns are added
+    where ``add_columns`` allows it.  ``apply_ddl`` false makes no table and
+    changes none.
     """
     df = read_any(spark, source)
     if not df.columns or df.isEmpty():
@@ -187,10 +193,11 @@ def load(spark: SparkSession, store: TableStore, source: Any, table: str, if_exi
         names = [c for c in outliers.numeric_columns(df) if c not in (keys or [])]
         dropped = outliers.summarise(df, names, factor=outlier_factor).outlier_rows
         df = outliers.treat(df, names, "drop", factor=outlier_factor)
-    policies = policies or Policies()
-    if add_columns:
-        policies.ddl.enabled, policies.ddl.dry_run = True, False
-    result = Pipeline(store, policies).run(df, table, if_exists, constrain=keys, apply_ddl=True, **kw)
+    if policies is None:
+        policies = Policies(ddl=DdlPolicy(enabled=add_columns, dry_run=not add_columns))
+    elif not add_columns:
+        policies = replace(policies, ddl=replace(policies.ddl, allow_add_columns=False))
+    result = Pipeline(store, policies).run(df, table, if_exists, constrain=keys, apply_ddl=apply_ddl, **kw)
     if metadata:
         with open(metadata, "w", encoding="utf-8") as f:
             json.dump(schema_json(store.spec(table)), f, indent=2)

@@ -64,7 +64,10 @@ def scan_folder(spark: SparkSession, store: TableStore, folder: str, manifest: s
             log.error("%s: %s", table, e)
             state[table] = {"mtime": mtime, "pk": known.get("pk"), "status": "failed", "file": path, "error": str(e)}
             out[table] = "failed"
-        at.write_text(json.dumps(state, indent=2), encoding="utf-8")
+        # replaced as a whole: a crash leaves the manifest of before
+        beside = at.with_suffix(".next")
+        beside.write_text(json.dumps(state, indent=2), encoding="utf-8")
+        beside.replace(at)
     return out
 
 
@@ -73,7 +76,8 @@ def upsert_stream(spark: SparkSession, store: TableStore, stream: DataFrame, tab
 
     def one(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            store.write(table, dml.upsert(store.read(table), dml.with_order(batch), keys))
+            base = store.version(table)
+            store.write(table, dml.upsert(store.read(table, base), dml.with_order(batch), keys), base=base)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
