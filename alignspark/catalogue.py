@@ -228,10 +228,9 @@ _where("where_lt", "c_acctbal < 0", "customer", [("c_acctbal", "<", 0)])
 _where("where_le", "p_size <= 3", "part", ["p_size <= 3"])
 _where("where_between", "o_totalprice BETWEEN 50000 AND 60000", "orders", ["o_totalprice BETWEEN '50000' and '60000'"])
 _where("where_in", "c_mktsegment IN ('BUILDING', 'MACHINERY')", "customer", [("c_mktsegment", "IN", "('BUILDING','MACHINERY')")])
-_where("where_in_empty", "false", "customer", [("c_mktsegment", "IN", [])])
+_where("where_in_empty", "c_acctbal < 0", "customer", [("c_mktsegment", "IN", []), ("c_acctbal", "<", 0)], "1 OR 2")
 _where("where_like", "contains(c_name, '99')", "customer", [("c_name", "LIKE", "99")])
-_where("where_like_escape", "contains(p_name, '_1%')", "part", [("p_name", "LIKE", "_1%")])
-_where("where_null", "o_orderstatus = NULL", "orders", [("o_orderstatus", "=", None)])
+_where("where_null", "o_orderstatus = NULL OR o_orderpriority = '1-URGENT'", "orders", [("o_orderstatus", "=", None), ("o_orderpriority", "=", "1-URGENT")], "1 OR 2")
 _where("where_expression", "o_orderstatus = 'F' AND (o_totalprice > 300000 OR o_orderpriority = '1-URGENT') AND NOT o_custkey <= 100", "orders", ["o_orderstatus = 'F'", "o_totalprice > 300000", ("o_orderpriority", "=", "1-URGENT"), "o_custkey <= 100"], "1 AND (2 OR 3) AND NOT 4")
 
 
@@ -242,6 +241,14 @@ def where_join(spark: SparkSession, sf: str) -> DataFrame:
     return n.join(r, predicates.where(n, ["rk = ?"], None, r)).where(r["rk"] >= 2).select("n_name", "r_name")
 
 
+@query("SELECT p_partkey, name FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a_1%b' WHEN 1 THEN 'ax1%b' WHEN 2 THEN 'a_1xb' ELSE p_name END AS name FROM part) WHERE contains(name, '_1%')")
+def where_like_escape(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that differ only where a wild card would match."""
+    kind = F.col("p_partkey") % 4
+    names = _t(spark, sf, "part").select("p_partkey", F.when(kind == 0, "a_1%b").when(kind == 1, "ax1%b").when(kind == 2, "a_1xb").otherwise(F.col("p_name")).alias("name"))
+    return predicates.select(names, [("name", "LIKE", "_1%")])
+
+
 # --- outliers --------------------------------------------------------------
 
 _Q = "b AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS c FROM events), lim AS (SELECT a - 1.5 * (c - a) AS lo, c + 1.5 * (c - a) AS hi FROM b)"

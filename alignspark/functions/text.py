@@ -34,14 +34,81 @@ REPLACEMENTS = {
     "\u2014": "-",
     "\u2015": "-",
     "\u2026": "...",
-    **dict(zip("АаВЕеКкМНОоРрСсТХху", "AaBEeKkMHOoPpCcTXxy", strict=True)),
-    **dict(zip("ΑαΒβΕεΗΙιΚκΝνΟοΡρΤτΥυΧχ", "AaBbEeHIiKkNvOoPpTtYyXx", strict=True)),
+    "\u0410": "A",
+    "\u0430": "a",
+    "\u0412": "B",
+    "\u0415": "E",
+    "\u0435": "e",
+    "\u041a": "K",
+    "\u043a": "k",
+    "\u041c": "M",
+    "\u041d": "H",
+    "\u041e": "O",
+    "\u043e": "o",
+    "\u0420": "P",
+    "\u0440": "p",
+    "\u0421": "C",
+    "\u0441": "c",
+    "\u0422": "T",
+    "\u0425": "X",
+    "\u0445": "x",
+    "\u0443": "y",
+    "\u0391": "A",
+    "\u03b1": "a",
+    "\u0392": "B",
+    "\u03b2": "b",
+    "\u0395": "E",
+    "\u03b5": "e",
+    "\u0397": "H",
+    "\u0399": "I",
+    "\u03b9": "i",
+    "\u039a": "K",
+    "\u03ba": "k",
+    "\u039d": "N",
+    "\u03bd": "v",
+    "\u039f": "O",
+    "\u03bf": "o",
+    "\u03a1": "P",
+    "\u03c1": "p",
+    "\u03a4": "T",
+    "\u03c4": "t",
+    "\u03a5": "Y",
+    "\u03c5": "y",
+    "\u03a7": "X",
+    "\u03c7": "x",
 }
 # Texts that stand for a missing value, exactly as written.
 NULL_TOKENS = ("nan", "None", "NAT", "NAN", "null")
 # Words that no dialect accepts as a bare identifier.
 RESERVED = frozenset(
-    "SELECT FROM WHERE GROUP ORDER LIMIT JOIN TABLE COLUMN INSERT UPDATE DELETE CREATE DROP ALTER SCHEMA INDEX VIEW TRIGGER PROCEDURE FUNCTION DATABASE USER ROLE GRANT REVOKE".split()
+    (
+        "SELECT",
+        "FROM",
+        "WHERE",
+        "GROUP",
+        "ORDER",
+        "LIMIT",
+        "JOIN",
+        "TABLE",
+        "COLUMN",
+        "INSERT",
+        "UPDATE",
+        "DELETE",
+        "CREATE",
+        "DROP",
+        "ALTER",
+        "SCHEMA",
+        "INDEX",
+        "VIEW",
+        "TRIGGER",
+        "PROCEDURE",
+        "FUNCTION",
+        "DATABASE",
+        "USER",
+        "ROLE",
+        "GRANT",
+        "REVOKE",
+    )
 )
 
 _CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
