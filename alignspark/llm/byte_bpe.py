@@ -18,6 +18,7 @@ import struct
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s")
+_SPACE = re.compile(r"\s")
 #: Punctuation that may be taken off the end of an all-letter word: a run of it is one match of the pattern.
 #: An apostrophe is not among it, as the pattern may join it to letters.
 _TAIL = string.punctuation.replace("'", "")
@@ -76,6 +77,8 @@ class ByteBpe:
         self.pieces = Pieces(self._piece, limit)
         self.tails = Pieces(self._whole, 10_000)
         self.sizes = Pieces(self._size, limit)
+        self.starts = Pieces(self._start, limit // 4)
+        self.line = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return _ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -88,12 +91,32 @@ class ByteBpe:
             # below U+0250 letters are the same set in every Unicode version in use
             elif piece.isalpha() and max(piece) < "ɐ":
                 return _ids([t.id for t in self.model.tokenize(self._space + "".join(map(self._letters.__getitem__, piece.encode("utf-8"))))])
+            lines = self._lines(piece)
+            if lines:
+                return self.pieces[lines[0]] + self.line + self.starts[lines[1]]
             head = piece.rstrip(_TAIL)
             if head and head != piece and head.isalpha() and max(head) < "ɐ":
                 return self.pieces[head] + self.tails[piece[len(head) :]]
         return self._whole(" " + piece)
 
+    def _lines(self, piece: str) -> tuple[str, str] | None:
+        """What stands before and after a line break that is the only white space: the pattern makes it a match of its own."""
+        left, line, right = piece.partition("\n")
+        return (left, right) if line and left and right and not _SPACE.search(left) and not _SPACE.search(right) else None
+
+    def _start(self, text: str) -> bytes:
+        """Ids of a text without white space at the beginning of a line."""
+        if text.isascii() and text.isalpha():
+            return _ids([t.id for t in self.model.tokenize(text)])
+        head = text.rstrip(_TAIL)
+        if head and head != text and head.isascii() and head.isalpha():
+            return self.starts[head] + self.tails[text[len(head) :]]
+        return self._whole(text)
+
     def _size(self, piece: str) -> int:
+        lines = self._lines(piece) if self._simple else None
+        if lines:
+            return self.sizes[lines[0]] + (len(self.line) + len(self.starts[lines[1]])) // 4
         head = piece.rstrip(_TAIL)
         if self._simple and head and head != piece and head.isalpha() and max(head) < "ɐ":
             return self.sizes[head] + len(self.tails[piece[len(head) :]]) // 4
