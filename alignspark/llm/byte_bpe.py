@@ -15,6 +15,7 @@ import os
 import re
 import string
 import struct
+from codecs import charmap_decode
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s")
@@ -22,6 +23,9 @@ _SPACE = re.compile(r"\s")
 #: Punctuation that may be taken off the end of an all-letter word: a run of it is one match of the pattern.
 #: An apostrophe is not among it, as the pattern may join it to letters.
 _TAIL = string.punctuation.replace("'", "")
+#: Letters below U+0250, which are the same set in every Unicode version in use.
+_LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ɏ]+")
+_ENDED = re.compile(f"({_LETTERS.pattern})([{re.escape(_TAIL)}]+)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -71,7 +75,7 @@ class ByteBpe:
         if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
             raise ValueError("only a byte-level pre-tokenizer with its own pattern and without a prefix space is supported")
         letters = _byte_letters()
-        self._letters = letters
+        self._stand_ins = "".join(letters[b] for b in range(256))
         self._space = letters[32]
         self._simple = str(self.tokenizer.normalizer) == "None"
         self.pieces = Pieces(self._piece, limit)
@@ -85,18 +89,15 @@ class ByteBpe:
 
     def _piece(self, piece: str) -> bytes:
         if self._simple:
-            if piece.isascii():
-                if piece.isalpha():
-                    return _ids([t.id for t in self.model.tokenize(self._space + piece)])
-            # below U+0250 letters are the same set in every Unicode version in use
-            elif piece.isalpha() and max(piece) < "ɐ":
-                return _ids([t.id for t in self.model.tokenize(self._space + "".join(map(self._letters.__getitem__, piece.encode("utf-8"))))])
+            if _LETTERS.fullmatch(piece):
+                plain = piece if piece.isascii() else charmap_decode(piece.encode("utf-8"), "strict", self._stand_ins)[0]
+                return _ids([t.id for t in self.model.tokenize(self._space + plain)])
+            ended = _ENDED.fullmatch(piece)
+            if ended:
+                return self.pieces[ended[1]] + self.tails[ended[2]]
             lines = self._lines(piece)
             if lines:
                 return self.pieces[lines[0]] + self.line + self.starts[lines[1]]
-            head = piece.rstrip(_TAIL)
-            if head and head != piece and head.isalpha() and max(head) < "ɐ":
-                return self.pieces[head] + self.tails[piece[len(head) :]]
         return self._whole(" " + piece)
 
     def _lines(self, piece: str) -> tuple[str, str] | None:
@@ -106,20 +107,20 @@ class ByteBpe:
 
     def _start(self, text: str) -> bytes:
         """Ids of a text without white space at the beginning of a line."""
-        if text.isascii() and text.isalpha():
-            return _ids([t.id for t in self.model.tokenize(text)])
-        head = text.rstrip(_TAIL)
-        if head and head != text and head.isascii() and head.isalpha():
-            return self.starts[head] + self.tails[text[len(head) :]]
-        return self._whole(text)
+        if _LETTERS.fullmatch(text):
+            plain = text if text.isascii() else charmap_decode(text.encode("utf-8"), "strict", self._stand_ins)[0]
+            return _ids([t.id for t in self.model.tokenize(plain)])
+        ended = _ENDED.fullmatch(text)
+        return self.starts[ended[1]] + self.tails[ended[2]] if ended else self._whole(text)
 
     def _size(self, piece: str) -> int:
-        lines = self._lines(piece) if self._simple else None
-        if lines:
-            return self.sizes[lines[0]] + (len(self.line) + len(self.starts[lines[1]])) // 4
-        head = piece.rstrip(_TAIL)
-        if self._simple and head and head != piece and head.isalpha() and max(head) < "ɐ":
-            return self.sizes[head] + len(self.tails[piece[len(head) :]]) // 4
+        if self._simple:
+            ended = _ENDED.fullmatch(piece)
+            if ended:
+                return self.sizes[ended[1]] + len(self.tails[ended[2]]) // 4
+            lines = self._lines(piece)
+            if lines:
+                return self.sizes[lines[0]] + (len(self.line) + len(self.starts[lines[1]])) // 4
         return len(self._piece(piece)) // 4
 
     def _cut(self, text: str) -> list[str]:
