@@ -38,8 +38,11 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def _ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACKS[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Pieces(dict):
@@ -50,9 +53,7 @@ class Pieces(dict):
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, piece: str):
-        value = self.old.pop(piece, None)
-        if value is None:
-            value = self.make(piece)
+        value = self.old.pop(piece, None) or self.make(piece)
         if len(piece) <= 48:
             if len(self) >= self.limit:
                 self.old = dict(self)

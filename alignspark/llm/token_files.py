@@ -125,7 +125,8 @@ class PlaneReader:
             while n_held < n:
                 held.append(self.block(k))
                 n_held, k = n_held + len(held[-1]), k + 1
-            every = np.concatenate(held) if held else np.zeros(0, "<u4")
+            # one array is cut without a copy
+            every = held[0] if len(held) == 1 else np.concatenate(held) if held else np.zeros(0, "<u4")
             yield (None if doc_id == NULL_ID else doc_id), every[:n]
             held, n_held = [every[n:]], n_held - n
 
